@@ -233,6 +233,8 @@ def _decode_run(run: str, codec: str, model: Model, before: str, width: int = 12
             for ch in _fill(seq, letters):
                 if ch.lower() in letters or not ch.isalnum():
                     options.append((size, ch, -0.5 * lost, size, 0))
+                elif not lost and ch in _bytes_of("cp1252"):  # it may have been misread twice
+                    options.append((size, ch, -3.0, size, 0))
         for key, (score, out, done, kept) in sorted(at[i].items(), key=lambda kv: -kv[1][0])[:width]:
             for step, ch, cost, d, k in options:
                 low = ch.lower()
