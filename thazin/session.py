@@ -1,6 +1,7 @@
 """Session helpers shared by all operators."""
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -37,3 +38,33 @@ def mapped(fn: Callable, kind: str, *cols: Column, nulls: bool = False) -> Colum
             yield pd.Series([None if v[0] is None and not nulls else fn(*v) for v in zip(*batch)], dtype=object)
 
     return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)(*cols)
+
+
+def shared(spark: SparkSession, value):
+    """A broadcast with a key, for :func:`built`."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, value))
+
+
+_BUILT: dict = {}
+
+
+def built(handle, make: Callable):
+    """What ``make`` makes of a shared value, once for a Python worker; a few are kept."""
+    key, value = handle.value
+    name = (make.__module__, make.__qualname__, key)
+    if name not in _BUILT:
+        if len(_BUILT) >= 4:
+            _BUILT.clear()
+        _BUILT[name] = make(value)
+    return _BUILT[name]
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Partitioned by columns into at least two tasks a core, for work that costs more than its bytes tell.
+
+    The number follows ``spark.sql.shuffle.partitions``, which is set to the
+    size of the data; a fixed number isn't coalesced at run time.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *cols)
