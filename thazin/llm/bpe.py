@@ -159,13 +159,9 @@ class Counter:
         return total
 
 
-_LOADED: dict = {}
+def encoder(data: bytes) -> Encoder:
+    return Encoder(parse(data))
 
 
-def loaded(kind: type, handle):
-    """One encoder or counter for a Python worker; handle is the broadcast vocabulary file."""
-    key = (kind.__name__, handle.id if hasattr(handle, "id") else id(handle))
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = kind(parse(handle.value))
-    return _LOADED[key]
+def counter(data: bytes) -> Counter:
+    return Counter(parse(data))

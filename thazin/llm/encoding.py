@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thazin.kernels.text import canonical_order, legacy_to_standard, standard_to_legacy
+from thazin.session import built, shared, spread
 
 # Encodings in which UTF-8 bytes are read by mistake.
 CODECS = ("cp1252", "latin-1", "cp1251", "cp437", "mac_roman", "cp850", "cp866", "koi8_r", "cp1250", "cp1253", "cp1254", "gbk")
@@ -420,14 +421,8 @@ def corpus_model(df: DataFrame, columns: Iterable[str], share: float = WORD_SHAR
     return word, tri
 
 
-_MODELS: dict = {}
-
-
-def shared_model(handle) -> Model:
-    if handle.id not in _MODELS:
-        _MODELS.clear()
-        _MODELS[handle.id] = Model(*handle.value)
-    return _MODELS[handle.id]
+def model_of(counts: tuple[dict[str, int], dict[str, int]]) -> Model:
+    return Model(*counts)
 
 
 def repaired(df: DataFrame, id_col: str, fields: tuple[str, ...], model_columns: tuple[str, ...] | None = None, model=None, derived: dict[str, str] | None = None) -> DataFrame:
@@ -441,14 +436,15 @@ def repaired(df: DataFrame, id_col: str, fields: tuple[str, ...], model_columns:
     garbled even if it can't be restored.
     """
     if model is None:
-        model = df.sparkSession.sparkContext.broadcast(corpus_model(df, model_columns or fields))
+        model = shared(df.sparkSession, corpus_model(df, model_columns or fields))
     derived = derived or {}
     names = [f"_f{i}" for i in range(len(fields))]
-    rows = df.select(F.col(id_col).alias("_id"), *(F.col(f).alias(n) for f, n in zip(fields, names))).distinct()
+    rows = df.select(F.col(id_col).alias("_id"), *(F.col(f).alias(n) for f, n in zip(fields, names)))
+    rows = spread(rows, "_id", *names).distinct()
     of = {n: names[fields.index(derived[f])] if f in derived else None for f, n in zip(fields, names)}
 
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        m = shared_model(model)
+        m = built(model, model_of)
         for batch in batches:
             batch = (batch,) if isinstance(batch, pd.Series) else batch
             out = []

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from thazin.kernels.text import canonical_order, legacy_to_standard
 from thazin.llm.skeleton import LOOK_ALIKES, prototypes
+from thazin.session import built, shared, spread
 
 MAX_EDITS = 2
 MAX_ENTRIES = 200_000  # the bound under which the list is broadcast
@@ -96,15 +97,15 @@ def fold(text: str) -> str:
     return re.sub("\\s+", " ", s).strip()
 
 
-def forms(text: str) -> list[str]:
+def forms(text: str) -> Iterator[str]:
     """The readings of a value: as it is, and with legacy font order undone."""
     text = decoded(text)
-    out = [fold(text)]
+    first = fold(text)
+    yield first
     if re.search("[က-႟]", text):
         other = fold(legacy_to_standard(text))
-        if other != out[0]:
-            out.append(other)
-    return out
+        if other != first:
+            yield other
 
 
 def stems(value: str) -> list[tuple[str, str | None]]:
@@ -175,7 +176,7 @@ class Gazetteer:
         self.filed: dict[str, list[tuple[int, str]]] = {}
         self.kind: dict[int, str | None] = {}
         self.frequency: dict[int, int] = {}
-        self.exact: dict[str, list[int]] = {}
+        self.stem: dict[str, list[int]] = {}
         self.memo: dict[str, int] = {}
         for entry, kind, name, latin, frequency in entries:
             if not name or not name.strip():
@@ -186,8 +187,8 @@ class Gazetteer:
             keys = {stem, romanize(stem), romanize(name.removesuffix(KIND_WORDS.get(kind or "", [""])[0])).lower()}
             if latin:
                 keys.add(stems(fold(latin))[0][0])
-            self.exact.setdefault(whole.replace(" ", ""), []).append(entry)
             for key in {k for k in keys if k}:
+                self.stem.setdefault(key, []).append(entry)
                 for d in deletions(key):
                     self.filed.setdefault(d, []).append((entry, key))
 
@@ -203,7 +204,12 @@ class Gazetteer:
     def _lookup(self, value: str) -> int:
         best = None
         for form in forms(value):
-            for stem, kind in stems(form):
+            read = stems(form)
+            for stem, kind in read:  # without any edit nothing can rank higher
+                same = [e for e in self.stem.get(stem, ()) if kind in (None, self.kind[e])]
+                if same and len(stem) >= 3:
+                    return min(same, key=lambda e: (-self.frequency[e], e))
+            for stem, kind in read:
                 if len(stem) < 3:
                     continue
                 limit = min(MAX_EDITS, 0.17 * len(stem))
@@ -222,9 +228,6 @@ class Gazetteer:
         return -1 if best is None else best[2]
 
 
-_BUILT: dict = {}
-
-
 def match(df: DataFrame, entries: DataFrame, id_col: str, value_col: str) -> DataFrame:
     """(rec_id, value, entry_id): one row for each record whose value is neither null nor blank nor a listed name.
 
@@ -243,15 +246,12 @@ def match(df: DataFrame, entries: DataFrame, id_col: str, value_col: str) -> Dat
         raise ValueError(f"the list holds more than {MAX_ENTRIES} entries")
     seen = values.join(F.broadcast(listed.select(F.col("name").alias("value"), "entry_id").distinct()), "value").groupBy("entry_id").agg(F.count(F.lit(1)).alias("f"))
     rows = sorted(tuple(r) for r in listed.join(seen, "entry_id", "left").select("entry_id", "entity_type", "name", "latin", "f").collect())
-    shared = spark.sparkContext.broadcast(rows)
+    handle = shared(spark, rows)
 
     def find(batches):
-        if shared.id not in _BUILT:
-            _BUILT.clear()
-            _BUILT[shared.id] = Gazetteer(shared.value)
-        g = _BUILT[shared.id]
+        g = built(handle, Gazetteer)
         for batch in batches:
             yield batch.map(g.lookup).astype("int64")
 
-    rest = values.distinct().join(F.broadcast(listed.select(F.col("name").alias("value"))), "value", "left_anti")
+    rest = spread(values, "rec_id", "value").distinct().join(F.broadcast(listed.select(F.col("name").alias("value"))), "value", "left_anti")
     return rest.select("rec_id", "value", F.pandas_udf(find, "long", F.PandasUDFType.SCALAR_ITER)("value").alias("entry_id"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thazin.llm import encoding
+from thazin.session import built, mapped, shared, spread
 
 ORDER = 5
 MAX_SAMPLES = 20_000  # labelled rows to train on; all of them below this bound
@@ -151,7 +152,9 @@ class Ppm:
             climb[left[hit]] += self.ctx_climb[size - 1][i[hit]]
             left = left[~hit]
         total = np.zeros((len(coded), len(self.languages)))
-        np.add.at(total, owner[pos], cost + climb)
+        per = cost + climb
+        for k in range(total.shape[1]):
+            total[:, k] = np.bincount(owner[pos], per[:, k], len(coded))
         return total
 
 
@@ -224,9 +227,6 @@ def decide(parts: list[str], bits: np.ndarray, languages: list[str]) -> tuple[li
     return named, [(languages[k], c) for k, c in found.items()]
 
 
-_TREES: dict = {}
-
-
 def identify(df: DataFrame, samples: DataFrame, id_col: str, text_col: str, label_col: str | None = None, model_columns: tuple[str, ...] | None = None, max_samples: int = MAX_SAMPLES, model=None) -> DataFrame:
     """(id, label, languages array<struct<lang, confidence>>, segments array<struct<text, lang, confidence>>) for each text neither null nor blank.
 
@@ -243,12 +243,13 @@ def identify(df: DataFrame, samples: DataFrame, id_col: str, text_col: str, labe
         by_lang[label_code(r["l"]) or r["l"]].append(r["t"])
     trees = spark.sparkContext.broadcast(Ppm(dict(by_lang)))  # its size is bounded by max_samples
     if model is None:
-        model = spark.sparkContext.broadcast(encoding.corpus_model(df, model_columns or (text_col,)))
+        model = shared(spark, encoding.corpus_model(df, model_columns or (text_col,)))
     label = F.col(label_col) if label_col else F.lit(None).cast("string")
-    src = df.select(F.col(id_col).alias("_id"), label.alias("_label"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & ~F.col("_text").rlike("(?U)^\\s*$")).distinct()
+    src = df.select(F.col(id_col).alias("_id"), label.alias("_label"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & ~F.col("_text").rlike("(?U)^\\s*$"))
+    src = spread(src, "_id", "_label", "_text").distinct()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m, ppm = encoding.shared_model(model), trees.value
+        m, ppm = built(model, encoding.model_of), trees.value
         for texts in batches:
             parts = []
             for t in texts:
@@ -267,14 +268,13 @@ def identify(df: DataFrame, samples: DataFrame, id_col: str, text_col: str, labe
             yield pd.DataFrame({"languages": [o[0] for o in out], "segments": [o[1] for o in out]})
 
     kind = "languages array<struct<lang: string, confidence: double>>, segments array<struct<text: string, lang: string, confidence: double>>"
-    r = F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)("_text")
+    # not deterministic for the planner, so that no filter repeats it
+    r = F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER).asNondeterministic()("_text")
     return src.select("_id", "_label", r.alias("r")).select(F.col("_id").alias(id_col), F.col("_label").alias("label"), "r.languages", "r.segments")
 
 
 def mislabelled(identified: DataFrame, id_col: str) -> DataFrame:
     """(id, lang) rows of the texts whose label is missing or wrong or that hold several languages."""
-    from thazin.session import mapped
-
     code = mapped(lambda s: label_code(s), "string", F.col("label"))
     x = identified.withColumn("_code", code)
     odd = (F.size("languages") > 1) | F.col("_code").isNull() | (F.col("_code") != F.col("languages")[0]["lang"])

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from thazin.llm.encoding import _SYLLABLES
 from thazin.llm.skeleton import prototypes
+from thazin.session import built, shared, spread
 
 TRAIN_DOCUMENTS = 4_000  # documents whose reliable places fit the weights
 TOKEN_SHARE = 1e-5  # rarer tokens are known by their shape only
@@ -447,6 +448,10 @@ def split(raw: str | None, stats: Stats, weights: list[float]) -> list[tuple[int
     return out
 
 
+def classifier(model: tuple[dict, np.ndarray]) -> tuple[Stats, list[float]]:
+    return Stats(model[0]), model[1].tolist()
+
+
 def fitted(df: DataFrame, text_col: str, id_col: str, train_documents: int = TRAIN_DOCUMENTS) -> tuple[dict, np.ndarray]:
     """(counts, weights): counts over all documents, weights from at most train_documents of them, chosen by hash."""
 
@@ -485,14 +490,13 @@ def sentence_spans(df: DataFrame, id_col: str = "parsed_id", text_col: str = "ra
     as stored; white space at either end of a sentence is left out.
     """
     model = model or fitted(df, text_col, id_col)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    handle = shared(df.sparkSession, model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counts, weights = shared.value
-        stats, weights = Stats(counts), weights.tolist()
+        stats, weights = built(handle, classifier)
         for texts in batches:
             yield pd.Series([[{"sent_start": s, "sent_end": e} for s, e in split(t, stats, weights)] for t in texts], dtype=object)
 
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t is not null and _t <> ''").distinct()
+    rows = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t is not null and _t <> ''"), "_id", "_t").distinct()
     cut = F.pandas_udf(run, "array<struct<sent_start: int, sent_end: int>>", F.PandasUDFType.SCALAR_ITER)
     return rows.select("_id", F.explode(cut("_t")).alias("s")).select(F.col("_id").alias(id_col), "s.sent_start", "s.sent_end")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thazin.llm.encoding import _SYLLABLES
+from thazin.session import spread
 
 PIECE_TOKENS = 28
 MIN_TOKENS = 8  # shorter pieces are never list material
@@ -178,7 +179,7 @@ def measured(df: DataFrame, id_col: str, text_col: str, lang_col: str, prose: Pr
             yield pd.Series(out, dtype=object)
 
     kind = "array<struct<chars: int, n: int, lang: string, divergence: double, spectrum: array<struct<f: int, c: int>>>>"
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_id is not null and _t is not null and _t <> ''").distinct()
+    rows = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_id is not null and _t is not null and _t <> ''"), "_id", "_t").distinct()
     cut = rows.select("_id", F.pandas_udf(measure, kind, F.PandasUDFType.SCALAR_ITER)("_t").alias("p")).select("_id", F.posexplode("p").alias("piece", "p"))
     flat = cut.select("_id", "piece", "p.chars", "p.n", "p.lang", "p.divergence", F.explode_outer("p.spectrum").alias("s"))
     key = ["_id", "piece"]

@@ -10,19 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thazin.llm import bpe
+from thazin.session import built, shared
 
 
-def _shared(spark: SparkSession, vocabulary: str):
+def _vocabulary(spark: SparkSession, vocabulary: str):
     """The vocabulary file as a broadcast: about 1 MB, whatever the data."""
-    return spark.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    return shared(spark, Path(vocabulary).read_bytes())
 
 
 def ids_of(spark: SparkSession, text: Column, vocabulary: str = bpe.VOCABULARY) -> Column:
-    handle = _shared(spark, vocabulary)
+    handle = _vocabulary(spark, vocabulary)
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = bpe.loaded(bpe.Encoder, handle)
+        encoder = built(handle, bpe.encoder)
         for texts in batches:
             yield pd.Series([encoder.encode(t) for t in texts], dtype=object)
 
@@ -30,11 +31,11 @@ def ids_of(spark: SparkSession, text: Column, vocabulary: str = bpe.VOCABULARY)
 
 
 def tokens_of(spark: SparkSession, text: Column, vocabulary: str = bpe.VOCABULARY) -> Column:
-    handle = _shared(spark, vocabulary)
+    handle = _vocabulary(spark, vocabulary)
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = bpe.loaded(bpe.Counter, handle)
+        counter = built(handle, bpe.counter)
         for texts in batches:
             yield pd.Series([counter.count(t) for t in texts], dtype="int32")
 
