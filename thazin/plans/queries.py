@@ -4,12 +4,206 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from thazin.functions import native
+from thazin.kernels.lexicon import OVERRIDES, SEED, Lexicon
+from thazin.operators import evaluation, text
+from thazin.session import table
+from thazin.sources.export import conll
+from thazin.streaming.counters import windowed_counts
+
+
+def _lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(w, list(t)) for w, t in Lexicon.seed().entries.items()], "word string, tags array<string>")
+
+
+def _documents(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    return table(spark, d, "parsed_documents").select("parsed_id", *cols).dropDuplicates(["parsed_id"])
+
+
+def syllable_counts(spark, d):
+    s = table(spark, d, "sentence_rows").where("text is not null").select(F.explode(native.syllables(native.visible(F.col("text")))).alias("syllable"))
+    return s.where(F.col("syllable").rlike("^[က-႟]")).groupBy("syllable").agg(F.count(F.lit(1)).alias("n"))
+
+
+def normalized_texts(spark, d):
+    t = table(spark, d, "paragraph_reports").where("text is not null").select("report_id", text.normalized(F.col("text")).alias("t"))
+    return t.select("report_id", F.length("t").alias("chars"), F.md5("t").alias("digest")).distinct()
+
+
+def legacy_hints(spark, d):
+    return table(spark, d, "paragraph_reports").where("text is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(native.is_legacy(F.col("text")).cast("int")).alias("legacy"))
+
+
+def legacy_converted(spark, d):
+    t = table(spark, d, "paragraph_reports").where(native.is_legacy(F.col("text"))).select("report_id", "text").distinct()
+    return t.select("report_id", native.legacy_to_standard(F.col("text")).alias("standard"))
+
+
+def canonical_variants(spark, d):
+    v = table(spark, d, "candidate_keys").where("span is not null").select("span").distinct()
+    return v.select(text.canonical(F.col("span")).alias("canonical"), "span").groupBy("canonical").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
+
+
+def rewrite_categories(spark, d):
+    r = table(spark, d, "paragraph_reports").select(F.explode("repairs").alias("r"))
+    return r.select(native.rewrite_category(F.col("r.matched_text"), F.col("r.replacement_text")).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def paragraph_sizes(spark, d):
+    t = table(spark, d, "documents").where("text is not null")
+    return t.select("doc_id", F.size(native.paragraphs(F.col("text"))).alias("paragraphs"), F.octet_length("text").alias("bytes"), F.length("text").alias("chars"))
+
+
+def script_runs(spark, d):
+    t = table(spark, d, "documents").where("text is not null").select(F.explode(native.script_runs(F.col("text"))).alias("r"))
+    return t.groupBy("r.script").agg(F.count(F.lit(1)).alias("runs"), F.sum(F.length("r.text")).alias("chars"))
+
+
+def lexicon_lookup(spark, d):
+    w = _documents(spark, d, "words").select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return w.join(F.broadcast(_lexicon(spark)), "word").select("word", "n", F.array_join("tags", ",").alias("tags"))
+
+
+def word_counts(spark, d):
+    t = text.segmented(table(spark, d, "sentence_rows").where("text is not null").select("text"), "text")
+    return t.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tag_histogram(spark, d):
+    t = text.tagged(_documents(spark, d, "words").where("words is not null"), "words")
+    return t.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def processed_documents(spark, d):
+    names = [(r["tokens"], r["entity_type"]) for r in table(spark, d, "gazetteer_entries").select(F.array("name").alias("tokens"), "entity_type").collect()]  # 700 rows at every scale
+    t = text.processed(_documents(spark, d, "raw_text").where("raw_text is not null"), "raw_text", entities=names)
+    return t.select("parsed_id", F.explode("document.chunks").alias("c")).select("parsed_id", F.col("c.type").alias("type"), F.col("c.first").alias("first"), F.col("c.last").alias("last"))
+
+
+def gazetteer_lookup(spark, d):
+    e = table(spark, d, "gazetteer_entries").select(F.col("name").alias("text"), "entity_type")
+    h = table(spark, d, "gazetteer_hits").select("hit_id", "text").distinct()
+    return h.join(F.broadcast(e), "text").groupBy("entity_type").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("text").alias("names"))
+
+
+def romanized_names(spark, d):
+    return table(spark, d, "gazetteer_entries").select("entry_id", text.romanized(F.col("name")).alias("latin"))
+
+
+def neighbour_features(spark, d):
+    f = evaluation.neighbour_features(_documents(spark, d, "words").where("words is not null"), "parsed_id", "words")
+    return f.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("prev_item").alias("lefts"), F.countDistinct("next_item").alias("rights"), F.sum(F.col("bos").cast("int")).alias("first"), F.sum(F.col("eos").cast("int")).alias("last"))
+
+
+def boundary_scores(spark, d):
+    w = _documents(spark, d, "source", "words").where("words is not null and size(words) > 0")
+    joined = F.transform(F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: i % 2 == 1), lambda i: F.array_join(F.slice("words", i, 2), ""))
+    return evaluation.boundary_scores(w.withColumn("pairs", joined), "words", "pairs", "source")
+
+
+def stop_sentences(spark, d):
+    w = _documents(spark, d, "words").select("parsed_id", F.posexplode("words").alias("p", "w"))
+    before = Window.partitionBy("parsed_id").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    s = w.select("parsed_id", F.coalesce(F.sum(F.when(F.col("w").isin("။", ".", "!", "?", "…"), 1).otherwise(0)).over(before), F.lit(0)).alias("sentence"))
+    return s.groupBy("parsed_id", "sentence").agg(F.count(F.lit(1)).alias("words"))
+
+
+def fertility_distribution(spark, d):
+    f = table(spark, d, "fertility_results").select("fert_id", "lang", "text", F.col("denominators.words").alias("w")).distinct()
+    return evaluation.distribution(f.where("w > 0").select("lang", (F.octet_length("text") / F.col("w")).alias("x")), "x", "lang")
+
+
+def recorded_tokens(spark, d):
+    t = table(spark, d, "fertility_results").select("fert_id", "source", F.explode("whole_document_tokens").alias("scheme", "tokens")).distinct()
+    return t.groupBy("source", "scheme").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
+
+
+def spelling(spark, d):
+    w = _documents(spark, d, "words").select(F.explode("words").alias("word")).distinct()
+    return evaluation.spelling_suggestions(w, _lexicon(spark)).select("word", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+def conll_lines(spark, d):
+    t = _documents(spark, d, "words", "tags").where("words is not null and tags is not null")
+    return t.select("parsed_id", conll(F.col("words"), F.col("tags")).alias("conll"))
+
+
+def event_windows(spark, d):
+    w = windowed_counts(table(spark, d, "events"))
+    return w.select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+_ALL = (
+    syllable_counts, normalized_texts, legacy_hints, legacy_converted, canonical_variants, rewrite_categories, paragraph_sizes, script_runs, lexicon_lookup, word_counts, tag_histogram,
+    processed_documents, gazetteer_lookup, romanized_names, neighbour_features, boundary_scores, stop_sentences, fertility_distribution, recorded_tokens, spelling, conll_lines, event_windows,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _ALL}
+
+
+_INVISIBLE = "chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279)"
+_DOCS = "SELECT parsed_id, any_value(source) AS source, any_value(words) AS words, any_value(tags) AS tags FROM parsed_documents GROUP BY parsed_id"
+
+
+def _lexicon_values() -> str:
+    """The seed list again from its definitions, apart from the class that loads it."""
+    from thazin.kernels import lexicon as L
+
+    tags: dict[str, set[str]] = {}
+    for tag, words in [*((t, w.split()) for t, w in SEED.items()), ("POSTP", L.POSTPOSITIONS), ("CONJ", L.CONJUNCTIONS), ("NUM", L.NUMERALS)]:
+        for w in words:
+            tags.setdefault(w, set()).add(tag)
+    tags |= {w: set(t) for w, t in OVERRIDES.items()}
+    return ", ".join(f"('{w}', '{','.join(t for t in L.TAGS if t in s)}')" for w, s in tags.items())
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "syllable_counts": f"""
+WITH t AS (SELECT translate(text, {_INVISIBLE}, '') AS t FROM sentence_rows WHERE text IS NOT NULL),
+r AS (SELECT unnest(regexp_extract_all(t, '[က-႟]+')) AS r FROM t),
+a AS (SELECT regexp_replace(regexp_replace(r, '([က-အ])([်္])', chr(1) || '\\1\\2', 'g'), '(္)([က-အ])', '\\1' || chr(1) || '\\2', 'g') AS r FROM r),
+b AS (SELECT regexp_replace(r, '(' || chr(1) || '?[က-အဣ-ဪဿ၌-၏]|[၀-၉]+|[၊။])', chr(2) || '\\1', 'g') AS r FROM a),
+s AS (SELECT unnest(string_split(replace(replace(r, chr(2) || chr(1), ''), chr(1), ''), chr(2))) AS syllable FROM b)
+SELECT syllable, count(*) AS n FROM s WHERE syllable <> '' GROUP BY syllable""",
+        "normalized_texts": f"SELECT DISTINCT report_id, length(t) AS chars, md5(t) AS digest FROM (SELECT report_id, nfc_normalize(translate(text, {_INVISIBLE}, '')) AS t FROM paragraph_reports WHERE text IS NOT NULL)",
+        "legacy_hints": "SELECT source, count(*) AS n, sum(CAST(regexp_matches(text, '[ၚၠ-႗]|္([^က-အ]|$)|(^|[^က-အျ-ှ])[ေျ]|ေေ|််') AS INT)) AS legacy FROM paragraph_reports WHERE text IS NOT NULL GROUP BY source",
+        "rewrite_categories": """
+WITH r AS (SELECT unnest(repairs) AS r FROM paragraph_reports), x AS (SELECT r.matched_text AS a, r.replacement_text AS b FROM r)
+SELECT CASE WHEN length(a) <> length(b) THEN 'length_change' WHEN list_sort(string_split(a, '')) = list_sort(string_split(b, '')) AND a <> b THEN 'reorder' ELSE 'substitution' END AS category, count(*) AS n FROM x GROUP BY 1""",
+        "paragraph_sizes": "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\n+'), lambda p: trim(p) <> '')) AS paragraphs, strlen(text) AS bytes, length(text) AS chars FROM documents WHERE text IS NOT NULL",
+        "lexicon_lookup": f"""
+WITH lex(word, tags) AS (VALUES {_lexicon_values()}), docs AS ({_DOCS}), w AS (SELECT unnest(words) AS word FROM docs), c AS (SELECT word, count(*) AS n FROM w GROUP BY word)
+SELECT c.word, c.n, lex.tags FROM c JOIN lex ON c.word = lex.word""",
+        "gazetteer_lookup": "SELECT e.entity_type, count(*) AS hits, count(DISTINCT h.text) AS names FROM (SELECT DISTINCT hit_id, text FROM gazetteer_hits) h JOIN gazetteer_entries e ON e.name = h.text GROUP BY e.entity_type",
+        "neighbour_features": f"""
+WITH docs AS ({_DOCS}), p AS (SELECT parsed_id, unnest(words) AS item, generate_subscripts(words, 1) AS i FROM docs WHERE words IS NOT NULL),
+f AS (SELECT item, i, lag(item) OVER w AS l, lead(item) OVER w AS r, lead(i) OVER w AS nx FROM p WINDOW w AS (PARTITION BY parsed_id ORDER BY i))
+SELECT item, count(*) AS n, count(DISTINCT l) AS lefts, count(DISTINCT r) AS rights, sum(CAST(i = 1 AS INT)) AS "first", sum(CAST(nx IS NULL AS INT)) AS "last" FROM f GROUP BY item""",
+        "boundary_scores": f"""
+WITH docs AS ({_DOCS}), w AS (SELECT parsed_id, source, words FROM docs WHERE words IS NOT NULL AND len(words) > 0),
+g AS (SELECT parsed_id, source, unnest(range(1, len(words))) AS i, words FROM w),
+b AS (SELECT parsed_id, source, length(array_to_string(words[1:i], '')) AS pos, i % 2 = 0 AS kept FROM g),
+s AS (SELECT parsed_id, source, pos, bool_or(kept) AS kept FROM b GROUP BY parsed_id, source, pos),
+c AS (SELECT source, sum(CAST(kept AS INT)) AS tp, 0 AS fp, sum(CAST(NOT kept AS INT)) AS fn FROM s GROUP BY source),
+e AS (SELECT DISTINCT source FROM w)
+SELECT e.source, coalesce(tp, 0) AS tp, 0 AS fp, coalesce(fn, 0) AS fn, CASE WHEN tp > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END::DOUBLE AS recall,
+  CASE WHEN tp > 0 THEN 2.0 * (tp / (tp + fn)) / (1.0 + tp / (tp + fn)) ELSE 0.0 END::DOUBLE AS f1 FROM e LEFT JOIN c ON e.source = c.source""",
+        "stop_sentences": f"""
+WITH docs AS ({_DOCS}), p AS (SELECT parsed_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM docs WHERE words IS NOT NULL),
+s AS (SELECT parsed_id, coalesce(sum(CAST(coalesce(w IN ('။', '.', '!', '?', '…'), false) AS INT)) OVER (PARTITION BY parsed_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM p)
+SELECT parsed_id, sentence, count(*) AS words FROM s GROUP BY parsed_id, sentence""",
+        "fertility_distribution": """
+WITH f AS (SELECT DISTINCT fert_id, lang, text, denominators.words AS w FROM fertility_results), x AS (SELECT lang, strlen(text)::DOUBLE / w AS x FROM f WHERE w > 0 AND text IS NOT NULL)
+SELECT lang, count(*) AS n, avg(x) AS mean, min(x) AS least, quantile_cont(x, 0.1) AS p10, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS p75, quantile_cont(x, 0.9) AS p90, max(x) AS most FROM x GROUP BY lang""",
+        "recorded_tokens": "SELECT source, e.key AS scheme, count(*) AS n, sum(e.value) AS tokens FROM (SELECT fert_id, source, unnest(map_entries(whole_document_tokens)) AS e FROM (SELECT DISTINCT fert_id, source, whole_document_tokens FROM fertility_results)) GROUP BY source, e.key",
+        "conll_lines": f"""
+WITH docs AS ({_DOCS}) SELECT parsed_id, array_to_string(list_transform(range(1, len(words) + 1), lambda i: i::VARCHAR || chr(9) || words[i] || chr(9) || '_' || chr(9) || tags[i] || chr(9) || '_'), chr(10)) AS conll
+FROM docs WHERE words IS NOT NULL AND tags IS NOT NULL""",
+        "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    }
