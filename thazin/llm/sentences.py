@@ -258,7 +258,7 @@ class Stats:
 NAMES = ["dot", "strong", "ellipsis", "quote", "space", "line", "joined"]
 _BASE = 3 * len(NAMES)
 LOW, NUMBER, THAI, THAI_EDGE = _BASE, _BASE + 6, _BASE + 7, _BASE + 8
-WIDTH = _BASE + 18
+WIDTH = _BASE + 20
 
 
 def features(para: Paragraph, p: Place, stats: Stats, first: int) -> tuple[str, list[float]]:
@@ -297,6 +297,8 @@ def features(para: Paragraph, p: Place, stats: Stats, first: int) -> tuple[str,
         float(bare and size < 16),
         float(bare and s_left == "my" and " " not in text[first:end].strip()),
         float(size < 4),
+        float(mark == "dot" and s_left == "word" and len(left) >= 5 and "." not in left),
+        float(mark == "dot" and s_left == "word" and len(left) <= 2),
     ]
     return group, row
 
