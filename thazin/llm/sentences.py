@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from thazin.llm.encoding import _SYLLABLES
 from thazin.llm.skeleton import prototypes
-from thazin.session import built, shared, spread
+from thazin.session import built, cut, shared, spread
 
 TRAIN_DOCUMENTS = 4_000  # documents whose reliable places fit the weights
 TOKEN_SHARE = 1e-5  # rarer tokens are known by their shape only
@@ -471,6 +471,7 @@ def fitted(df: DataFrame, text_col: str, id_col: str, train_documents: int = TRA
 
     src = df.select(F.col(text_col).alias("_t"), F.col(id_col).alias("_id")).where("_t is not null and _t <> ''")
     sums = src.select("_t").mapInPandas(count, "kind string, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
+    sums = cut(sums)  # read twice below
     total = sums.where("substring(token, 1, 1) <> '<'").groupBy("kind").agg(F.sum("n").alias("all"))
     kept = sums.join(F.broadcast(total), "kind", "left").where((F.col("n") >= F.col("all") * TOKEN_SHARE) | F.col("token").startswith("<"))
     counts = {(r[0], r[1]): r[2] for r in kept.select("kind", "token", "n").toLocalIterator()}
@@ -500,5 +501,5 @@ def sentence_spans(df: DataFrame, id_col: str = "parsed_id", text_col: str = "ra
             yield pd.Series([[{"sent_start": s, "sent_end": e} for s, e in split(t, stats, weights)] for t in texts], dtype=object)
 
     rows = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t is not null and _t <> ''"), "_id", "_t").distinct()
-    cut = F.pandas_udf(run, "array<struct<sent_start: int, sent_end: int>>", F.PandasUDFType.SCALAR_ITER)
-    return rows.select("_id", F.explode(cut("_t")).alias("s")).select(F.col("_id").alias(id_col), "s.sent_start", "s.sent_end")
+    find = F.pandas_udf(run, "array<struct<sent_start: int, sent_end: int>>", F.PandasUDFType.SCALAR_ITER)
+    return rows.select("_id", F.explode(find("_t")).alias("s")).select(F.col("_id").alias(id_col), "s.sent_start", "s.sent_end")
