@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thazin.llm.encoding import _SYLLABLES
-from thazin.session import spread
+from thazin.session import cut, spread
 
 PIECE_TOKENS = 28
 MIN_TOKENS = 8  # shorter pieces are never list material
@@ -94,7 +94,7 @@ def _collected(df: DataFrame, kind: str, share: float) -> dict[tuple[str, str],
 
 
 def _summed(df: DataFrame, columns: list[str], count) -> DataFrame:
-    """(g, token, n): counters per task, summed by key."""
+    """(g, token, n): counters per task, summed by key; kept, as callers read them several times."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
@@ -107,7 +107,7 @@ def _summed(df: DataFrame, columns: list[str], count) -> DataFrame:
         if held:
             yield pd.DataFrame([(g, t, n) for (g, t), n in held.items()], columns=["g", "token", "n"])
 
-    return df.select(*columns).mapInPandas(run, "g string, token string, n long").groupBy("g", "token").agg(F.sum("n").alias("n"))
+    return cut(df.select(*columns).mapInPandas(run, "g string, token string, n long").groupBy("g", "token").agg(F.sum("n").alias("n")))
 
 
 def fitted(df: DataFrame, text_col: str, lang_col: str) -> Prose:
@@ -180,8 +180,8 @@ def measured(df: DataFrame, id_col: str, text_col: str, lang_col: str, prose: Pr
 
     kind = "array<struct<chars: int, n: int, lang: string, divergence: double, spectrum: array<struct<f: int, c: int>>>>"
     rows = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_id is not null and _t is not null and _t <> ''"), "_id", "_t").distinct()
-    cut = rows.select("_id", F.pandas_udf(measure, kind, F.PandasUDFType.SCALAR_ITER)("_t").alias("p")).select("_id", F.posexplode("p").alias("piece", "p"))
-    flat = cut.select("_id", "piece", "p.chars", "p.n", "p.lang", "p.divergence", F.explode_outer("p.spectrum").alias("s"))
+    parts = rows.select("_id", F.pandas_udf(measure, kind, F.PandasUDFType.SCALAR_ITER)("_t").alias("p")).select("_id", F.posexplode("p").alias("piece", "p"))
+    flat = parts.select("_id", "piece", "p.chars", "p.n", "p.lang", "p.divergence", F.explode_outer("p.spectrum").alias("s"))
     key = ["_id", "piece"]
     down = Window.partitionBy(*key).orderBy(F.col("s.f").desc())
     # the rank at the end of each frequency: the curve has few points however many terms share a frequency
