@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thazin.kernels import analysis, text
+from thazin.kernels import analysis, repair, syntax, text
 from thazin.kernels.lexicon import Lexicon
 from thazin.session import built, mapped, shared
 
@@ -44,12 +44,13 @@ def tagged(df: DataFrame, col: str, out: str = "tags", lexicon: Lexicon | None =
 
 DOCUMENT = (
     "text string, words array<string>, units array<struct<text: string, category: string, first: int, last: int, index: int>>, tags array<string>, "
-    "entities array<struct<text: string, type: string, first: int, last: int>>, chunks array<struct<type: string, text: string, first: int, last: int>>"
+    "entities array<struct<text: string, type: string, first: int, last: int>>, chunks array<struct<type: string, text: string, first: int, last: int>>, "
+    "sentences array<struct<first: int, stop: int>>, clauses array<struct<sentence: int, kind: string, relation: string, marker: string, first: int, last: int>>"
 )
 
 
 def processed(df: DataFrame, col: str, lexicon: Lexicon | None = None, units: Iterable = (), entities: Iterable = (), out: str = "document") -> DataFrame:
-    """Adds the whole analysis of a text as one struct, in one pass: words, multi-word units, tags (PROPN inside entities), entities, phrases."""
+    """Adds the whole analysis of a text as one struct, in one pass: words, multi-word units, tags (PROPN inside entities), entities, phrases, sentences, clauses."""
     handle = shared(df.sparkSession, (lexicon or Lexicon.seed(), list(units), list(entities)))
 
     def run(t: str) -> dict:
@@ -60,13 +61,17 @@ def processed(df: DataFrame, col: str, lexicon: Lexicon | None = None, units: It
         hits = find.find(words, tags)
         for _, _, a, b in hits:
             tags[a : b + 1] = ["PROPN"] * (b - a + 1)
+        chunks = analysis.chunks(words, tags, [(a, b) for _, _, a, b in hits])
+        spans = syntax.sentences(words, tags, chunks)
         return {
             "text": norm,
             "words": words,
             "units": [dict(zip(("text", "category", "first", "last", "index"), u)) for u in merged],
             "tags": tags,
             "entities": [dict(zip(("text", "type", "first", "last"), h)) for h in hits],
-            "chunks": [dict(zip(("type", "text", "first", "last"), c)) for c in analysis.chunks(words, tags, [(a, b) for _, _, a, b in hits])],
+            "chunks": [dict(zip(("type", "text", "first", "last"), c)) for c in chunks],
+            "sentences": [{"first": a, "stop": b} for a, b in spans],
+            "clauses": [dict(zip(("sentence", "kind", "relation", "marker", "first", "last"), (k, *c))) for k, s in enumerate(spans) for c in syntax.clauses(words, chunks, s)],
         }
 
     return df.withColumn("_d", mapped(lambda t: [run(t)], f"array<struct<{_ddl(DOCUMENT)}>>", F.col(col))).withColumn(out, F.col("_d")[0]).drop("_d")
@@ -84,3 +89,15 @@ def _ddl(schema: str) -> str:
 
 def _engines(value: tuple) -> tuple:
     return value[0], analysis.Units(value[1]), analysis.Entities(value[2])
+
+
+REPORT = (
+    "array<struct<text: string, paragraphs: array<struct<text: string, converted_text: string, probability: double, converted: boolean, "
+    "repairs: array<struct<rule_index: int, matched_text: string, replacement_text: string, origin_start: int, origin_end: int, category: string, lossy: boolean>>>>, summary: struct<min: double, max: double, spread: double>>>"
+)
+
+
+def repaired(df: DataFrame, col: str, model: repair.OrderModel, threshold: float = 0.5, out: str = "report") -> DataFrame:
+    """Adds the paragraph-wise conversion report of a text."""
+    handle = shared(df.sparkSession, model)
+    return df.withColumn("_d", mapped(lambda t: [repair.repair_report(t, handle.value[1].probability, threshold)], REPORT, F.col(col))).withColumn(out, F.col("_d")[0]).drop("_d")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from thazin.functions import native
 from thazin.kernels.lexicon import OVERRIDES, SEED, Lexicon
+from thazin.kernels.repair import OrderModel
+from thazin.kernels.text import standard_to_legacy
 from thazin.operators import evaluation, text
 from thazin.session import table
 from thazin.sources.export import conll
@@ -83,6 +85,19 @@ def processed_documents(spark, d):
     return t.select("parsed_id", F.explode("document.chunks").alias("c")).select("parsed_id", F.col("c.type").alias("type"), F.col("c.first").alias("first"), F.col("c.last").alias("last"))
 
 
+def clause_kinds(spark, d):
+    t = text.processed(_documents(spark, d, "raw_text").where("raw_text is not null"), "raw_text")
+    return t.select(F.explode("document.clauses").alias("c")).groupBy("c.kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c.marker").alias("markers"))
+
+
+def repair_reports(spark, d):
+    samples = [r["text"] for r in table(spark, d, "lang_samples").where("lang = 'my'").select("text").collect()]  # 40 rows at every scale
+    model = OrderModel.fit(samples, [standard_to_legacy(s) for s in samples])
+    t = table(spark, d, "paragraph_reports").where("text is not null").select("report_id", "text").distinct()
+    p = text.repaired(t, "text", model).select("report_id", F.posexplode("report.paragraphs").alias("paragraph", "p"))
+    return p.select("report_id", "paragraph", "p.converted", "p.converted_text", F.size("p.repairs").alias("repairs"))
+
+
 def gazetteer_lookup(spark, d):
     e = table(spark, d, "gazetteer_entries").select(F.col("name").alias("text"), "entity_type")
     h = table(spark, d, "gazetteer_hits").select("hit_id", "text").distinct()
@@ -138,7 +153,7 @@ def event_windows(spark, d):
 
 _ALL = (
     syllable_counts, normalized_texts, legacy_hints, legacy_converted, canonical_variants, rewrite_categories, paragraph_sizes, script_runs, lexicon_lookup, word_counts, tag_histogram,
-    processed_documents, gazetteer_lookup, romanized_names, neighbour_features, boundary_scores, stop_sentences, fertility_distribution, recorded_tokens, spelling, conll_lines, event_windows,
+    processed_documents, clause_kinds, repair_reports, gazetteer_lookup, romanized_names, neighbour_features, boundary_scores, stop_sentences, fertility_distribution, recorded_tokens, spelling, conll_lines, event_windows,
 )
 
 

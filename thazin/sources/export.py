@@ -37,3 +37,27 @@ def treebank_lines(df: DataFrame, value: str = "value") -> DataFrame:
     """Lines of id<TAB>(S (TAG word) ...) to (id, words, tags): the leaves in order."""
     tree = F.regexp_extract(value, "\t(.*)$", 1)
     return df.select(F.regexp_extract(value, "^([^\t]*)\t", 1).alias("id"), F.regexp_extract_all(tree, F.lit("\\([^()\\s]+ ([^()\\s]+)\\)"), 1).alias("words"), F.regexp_extract_all(tree, F.lit("\\(([^()\\s]+) [^()\\s]+\\)"), 1).alias("tags"))
+
+
+def standoff(sentences: list[dict]) -> tuple[str, str]:
+    """(text, annotations) of one document in stand-off form.
+
+    A sentence has ``words`` and lists of (label, first, last), inclusive,
+    under entities, chunks, units and clauses; sentences stand on lines of
+    their own, and spans are offsets into the whole text.
+    """
+    lines, notes, base = [], [], 0
+    for s in sentences:
+        at, places = 0, []
+        for w in s["words"]:
+            places.append((at, at + len(w)))
+            at += len(w)
+        surface = "".join(s["words"])
+        lines.append(surface)
+        for name, prefix in (("entities", ""), ("chunks", "CHUNK/"), ("units", "MWE/"), ("clauses", "CLAUSE/")):
+            for label, a, b in s.get(name, ()):
+                x, y = places[a][0], places[b][1]
+                if y > x:
+                    notes.append(f"T{len(notes) + 1}\t{prefix}{label} {base + x} {base + y}\t{surface[x:y]}")
+        base += len(surface) + 1
+    return "\n".join(lines), "\n".join(notes)
