@@ -110,6 +110,9 @@ def test_languages(spark):
     df = spark.createDataFrame(rows, "report_id long, lang string, text string")
     found = sorted(tuple(r) for r in language.mislabelled(language.identify(df, samples, "report_id", "text", "lang"), "report_id").collect())
     assert found == [(2, "fr"), (3, "en"), (4, "en"), (4, "my")]
+    none = language.identify(df, samples.limit(0), "report_id", "text", "lang").collect()
+    assert {r.languages[0].lang for r in none} == {"und"} and len(none) == 6
+    assert language.identify(df.limit(0), samples, "report_id", "text", "lang").count() == 0
     assert language.label_code("Burmese") == language.label_code("my-MM") == "my" and language.label_code("??") is None
 
 

@@ -234,14 +234,15 @@ def identify(df: DataFrame, samples: DataFrame, id_col: str, text_col: str, labe
     text without any letter is ``und`` with confidence 1.  Repeated rows count
     once.  The trees are trained on at most max_samples rows of ``samples``
     (lang, text), taken in order of a hash; rows without a label or text are
-    left out.  Equal code lengths go to the language first in the alphabet.
+    left out.  Without any sample every text is ``und``, with confidence 0 if it
+    has letters.  Equal code lengths go to the language first in the alphabet.
     """
     spark = df.sparkSession
     rows = samples.select(F.col("lang").alias("l"), F.col("text").alias("t")).where("l is not null and t is not null and trim(t) <> ''").orderBy(F.xxhash64("l", "t"), "l", "t").limit(max_samples).collect()
     by_lang: dict[str, list[str]] = defaultdict(list)
     for r in rows:
         by_lang[label_code(r["l"]) or r["l"]].append(r["t"])
-    trees = spark.sparkContext.broadcast(Ppm(dict(by_lang)))  # its size is bounded by max_samples
+    trees = spark.sparkContext.broadcast(Ppm(dict(by_lang)) if by_lang else None)  # its size is bounded by max_samples
     if model is None:
         model = shared(spark, encoding.corpus_model(df, model_columns or (text_col,)))
     label = F.col(label_col) if label_col else F.lit(None).cast("string")
@@ -257,8 +258,11 @@ def identify(df: DataFrame, samples: DataFrame, id_col: str, text_col: str, labe
                 p = segments(fixed)
                 parts.append(p or ([fixed] if _LETTER.search(fixed) else []))
             flat = [s for p in parts for s in p]
-            bits, at, out = ppm.bits(flat), 0, []
+            bits, at, out = ppm.bits(flat) if ppm else None, 0, []
             for p in parts:
+                if p and not ppm:
+                    out.append(([{"lang": "und", "confidence": 0.0}], [{"text": s, "lang": "und", "confidence": 0.0} for s in p]))
+                    continue
                 if not p:
                     out.append(([{"lang": "und", "confidence": 1.0}], []))
                     continue
