@@ -12,7 +12,7 @@ from thazin.kernels.lexicon import OVERRIDES, SEED, Lexicon
 from thazin.kernels.repair import OrderModel
 from thazin.kernels.text import standard_to_legacy
 from thazin.operators import evaluation, text
-from thazin.session import table
+from thazin.session import spread, table
 from thazin.sources.export import conll
 from thazin.streaming.counters import windowed_counts
 
@@ -22,7 +22,7 @@ def _lexicon(spark: SparkSession) -> DataFrame:
 
 
 def _documents(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    return table(spark, d, "parsed_documents").select("parsed_id", *cols).dropDuplicates(["parsed_id"])
+    return spread(table(spark, d, "parsed_documents").select("parsed_id", *cols), "parsed_id").dropDuplicates(["parsed_id"])
 
 
 def syllable_counts(spark, d):
