@@ -167,6 +167,17 @@ def test_sentences(spark):
     assert all(texts[i][a:b] == texts[i][a:b].strip() for i, a, b in out)
 
 
+def test_rare_tokens_lose_both_counts(spark):
+    # over 1e5 uses a kind, so that the share is more than one use
+    rows = [(i, " ".join(f"The clerk saw {'Zoltan' if (i, k) == (3, 7) else 'Maria'} near the old bridge today." for k in range(500)) + (" Zoltan left." if i == 5 else "")) for i in range(60)]
+    counts, _ = sentences.fitted(spark.createDataFrame(rows, "parsed_id long, raw_text string"), "raw_text", "parsed_id", train_documents=5)
+    assert counts["start", "Maria"] > 20_000 and ("start", "Zoltan") not in counts and ("start+", "Zoltan") not in counts
+    assert all((kind.rstrip("+"), token) in counts for kind, token in counts)
+    stats = sentences.Stats(counts)
+    assert stats.ratio("start", "Zoltan") == stats.ratio("start", "Qwertz")  # a word of the same shape that never occurs
+    assert counts["start", "The"] == 30_000 and counts["start+", "The"] == 60
+
+
 def test_stuffing(spark):
     prose = ["I bought the kettle for my sister and it works as described, so we use it every morning.", "The handle of this lamp broke after two weeks and nobody answered my e-mails about it.", "It is a bit heavier than the old one but the colour is the same and I would buy it again."]
     good = [" ".join(prose[(i + k) % 3] for k in range(3)) for i in range(60)]

@@ -27,7 +27,7 @@ from thazin.llm.skeleton import prototypes
 from thazin.session import built, cut, shared, spread
 
 TRAIN_DOCUMENTS = 4_000  # documents whose reliable places fit the weights
-TOKEN_SHARE = 1e-5  # rarer tokens are known by their shape only
+TOKEN_SHARE = 1e-5  # tokens whose uses are rarer are known by their shape only
 MARKS = ".!?။…。！？"
 OPEN, CLOSE, BOTH = "“„«「『(（[‘", "”»」』)）]’", '"'
 _PAIRS = {"“": "”“", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", '"': '"'}
@@ -470,11 +470,16 @@ def fitted(df: DataFrame, text_col: str, id_col: str, train_documents: int = TRA
             yield pd.DataFrame([(k, t, n) for (k, t), n in held.items()], columns=["kind", "token", "n"])
 
     src = df.select(F.col(text_col).alias("_t"), F.col(id_col).alias("_id")).where("_t is not null and _t <> ''")
-    sums = src.select("_t").mapInPandas(count, "kind string, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
+    events = src.select("_t").mapInPandas(count, "kind string, token string, n long")
+    at_border = F.col("kind").endswith("+")
+    # all uses of a token and those at borders side by side, so that both are kept or neither
+    sums = events.groupBy(F.rtrim(F.col("kind"), F.lit("+")).alias("kind"), "token").agg(F.sum(F.when(at_border, 0).otherwise(F.col("n"))).alias("n"), F.sum(F.when(at_border, F.col("n")).otherwise(0)).alias("hits"))
     sums = cut(sums)  # read twice below
     total = sums.where("substring(token, 1, 1) <> '<'").groupBy("kind").agg(F.sum("n").alias("all"))
     kept = sums.join(F.broadcast(total), "kind", "left").where((F.col("n") >= F.col("all") * TOKEN_SHARE) | F.col("token").startswith("<"))
-    counts = {(r[0], r[1]): r[2] for r in kept.select("kind", "token", "n").toLocalIterator()}
+    counts = {}
+    for kind, token, n, hits in kept.select("kind", "token", "n", "hits").toLocalIterator():
+        counts |= {k: v for k, v in (((kind, token), n), ((kind + "+", token), hits)) if v}
     texts = [r[0] for r in src.orderBy(F.xxhash64("_id", "_t"), "_id", "_t").select("_t").limit(train_documents).collect()]
     stats = Stats(counts)
     rows = [e for t in texts for e in examples(t, stats)]
