@@ -139,6 +139,25 @@ def test_repair(spark):
     assert out == [(2, "text")]
 
 
+def test_all_lost_letters_are_tried():
+    word = {f"x{c}y": 1 for c in "ßàáâãäåæçèéêëìíîïñòóôõöøùúûü"} | {"révélé": 50, "révèle": 9, "dégénéré": 40, "rêvé": 7}
+    tri = collections.Counter()
+    for w, n in word.items():
+        for t in encoding.trigrams(w):
+            tri[t] += n
+    m = encoding.Model(word, dict(tri))
+    for w in ("révélé", "dégénéré", "rêvé"):
+        lost = "".join("�" if c > "z" else c for c in w)
+        assert encoding.restore_lost(f"Il {lost}, {lost.upper()}", m) == f"Il {w}, {w.upper()}"
+    assert m.completed("rév�l�") == "révélé" and m.completed("rêv�") == "rêvé"
+    latin = sorted(m.letters - set(map(chr, range(128))))
+    for pattern in ("r�n�r", "��", "v��é", "q�"):  # no such words: the most probable spelling of all
+        every = [""]
+        for c in pattern:
+            every = [o + x for o in every for x in (latin if c == "�" else [c])]
+        assert m.spelled(m.completed(pattern)) == pytest.approx(max(map(m.spelled, every)))
+
+
 def test_sentences(spark):
     rng = np.random.default_rng(5)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]

@@ -15,8 +15,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,7 @@ class Model:
         self.memo: dict[str, float] = {}
         self.scores: dict[str, float] = {}
         self.runs: dict[tuple[str, str, str], tuple[str, int, int]] = {}
+        self.steps: dict[tuple[tuple[str, ...], ...], np.ndarray] = {}
 
     def char(self, before: str, c: str) -> float:
         return math.log((self.tri.get(before + c, 0) + 0.02) / (self.bi.get(before, 0) + 2.0))
@@ -103,6 +105,52 @@ class Model:
             total += known
         return total
 
+    @cached_property
+    def latin(self) -> tuple[str, ...]:
+        """The letters beyond ASCII that a lost byte may have been."""
+        return tuple(c for c in sorted(self.letters) if "ß" <= c <= "ɏ") or ("é",)
+
+    @cached_property
+    def by_pattern(self) -> dict[str, list[str]]:
+        """The corpus words by what is left of them when all those letters are lost."""
+        gone, out = str.maketrans(dict.fromkeys(self.latin, LOST)), {}
+        for w in sorted(self.word):
+            if (left := w.translate(gone)) != w:
+                out.setdefault(left, []).append(w)
+        return out
+
+    def _step(self, a: tuple[str, ...], b: tuple[str, ...], c: tuple[str, ...]) -> np.ndarray:
+        known = self.steps.get((a, b, c))
+        if known is None:
+            known = np.array([[[self.char(x + y, z) for z in c] for y in b] for x in a])
+            if len(self.steps) > 500:
+                self.steps.clear()
+            if known.size <= 500_000:
+                self.steps[a, b, c] = known
+        return known
+
+    def likeliest(self, options: list[tuple[str, ...]]) -> str:
+        """Of all words with one of the given letters at each place the one of most probable spelling: Viterbi by the last two letters."""
+        places = [("",), ("^",), *options, ("$",)]
+        score, back = np.zeros((1, 1)), []
+        for a, b, c in zip(places, places[1:], places[2:]):
+            ways = score[:, :, None] + self._step(a, b, c)
+            back.append(ways.argmax(axis=0))
+            score = ways.max(axis=0)
+        j, k, out = int(score[:, 0].argmax()), 0, []
+        for opts, best in zip(options[::-1], back[::-1]):
+            out.append(opts[j])
+            j, k = int(best[j, k]), j
+        return "".join(reversed(out))
+
+    def completed(self, pattern: str) -> str:
+        """A word in lower case with its lost letters: the most frequent corpus word that fits, else the most probable spelling."""
+        gone = str.maketrans(dict.fromkeys(self.latin, LOST))
+        fits = [w for w in self.by_pattern.get(pattern.translate(gone), ()) if all(p in (c, LOST) for p, c in zip(pattern, w))]
+        if fits:
+            return max(fits, key=lambda w: (self.word[w], self.spelled(w)))
+        return self.likeliest([self.latin if c == LOST else (c,) for c in pattern])
+
 
 # ------------------------------------------------------------------ byte channels
 
@@ -279,14 +327,10 @@ def restore_lost(text: str, model: Model) -> str:
     """One-byte text read as UTF-8: every lost character is one letter, chosen by the frequency of its word."""
     if LOST not in text:
         return text
-    latin = [c for c in sorted(model.letters) if "ß" <= c <= "ɏ"] or ["é"]
 
     def fix(m: re.Match) -> str:
         w = m.group()
-        options = [""]
-        for c in w.lower():
-            options = [o + x for o in options for x in (latin if c == LOST else [c])][:4096]
-        best = max(options, key=lambda o: (model.word.get(o, 0), model.spelled(o)))
+        best = model.completed(w.lower())
         return "".join(b.upper() if a.isupper() or (a == LOST and w.isupper()) else b for a, b in zip(w, best))
 
     return re.sub(f"[^\\W\\d_]*{LOST}[^\\W\\d_{LOST}]*(?:{LOST}[^\\W\\d_]*)*", fix, text)
