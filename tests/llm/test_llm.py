@@ -158,6 +158,34 @@ def test_all_lost_letters_are_tried():
         assert m.spelled(m.completed(pattern)) == pytest.approx(max(map(m.spelled, every)))
 
 
+def test_word_moves_add_up_to_the_score():
+    words = ["မြန်မာ", "စာပေ", "ကျောင်းသားတို့", "သင်္ဘော", "ဗုဒ္ဓဘာသာ", "château", "chat", "café"]
+    word, tri = collections.Counter(), collections.Counter()
+    for w in words * 3:
+        word.update(encoding.words(w))
+        tri.update(encoding.trigrams(w))
+    m, rng = encoding.Model(dict(word), dict(tri)), np.random.default_rng(2)
+    letters = "ကနမသတ့်း္ျြာိုင၀ဿၐ"
+    texts = [*words, "chatx", "chateaux café", "မြန် chat", *("".join(rng.choice(list(letters), 9)) for _ in range(3000))]
+    for t in texts:
+        got, tail = 0.0, ""
+        for c in [*t, ""]:
+            cost, tail = m.move(tail, c if c.strip() else "")
+            got += cost
+        want = 2 * sum(m._score(x.group()) - 0.5 * m.spelled(x.group().lower()) for x in encoding._WORDS.finditer(t))
+        assert got == pytest.approx(want), t
+
+
+def test_lost_bytes_by_words_with_all_states():
+    # the trigrams alone prefer "é" in m?d; the word list knows only "mèdu"; more letters fit than twelve
+    word = {"mèdu": 500, "axéd": 1, "méda": 1} | {f"m{c}" : 900 for c in "àáâãäåæçéêëìíîïñòóôõö"}
+    tri = collections.Counter({"^m": 1000, "^mè": 2, "mèd": 2, "èdu": 300, "du$": 300, "^mé": 300, "méd": 300, "éda": 2, "édu": 250})
+    for c in "àáâãäåæçêëìíîïñòóôõö":
+        tri[f"^m{c}"] = 400
+    m = encoding.Model(word, dict(tri))
+    assert encoding.decode_bytes("mÃ�du", "cp1252", m)[0] == "mèdu"
+
+
 def test_sentences(spark):
     rng = np.random.default_rng(5)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]

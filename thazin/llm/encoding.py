@@ -54,6 +54,21 @@ def trigrams(text: str) -> Iterator[str]:
             yield w[max(0, i - 1) : i + 2]
 
 
+_UNDECIDED = re.compile("[က-အၵ-ႁ][့း]*$")
+_STACK = re.compile("[က-အဣ-ဪဿၐ-ၕၚ-ၝၡၥၦၮ-ၰၵ-ႁႎ](?:္[က-အၐ-ႁ])*")
+
+
+def _standing(body: str) -> str:
+    """A short syllable that the same characters may follow as a given one."""
+    m = _STACK.match(body)
+    return "က" if m.end() == len(body) else "က္" if body[m.end() :] == "္" else "ကာ"
+
+
+def _paid(tail: str) -> int:
+    """Length of the short syllable at the start of a tail."""
+    return 2 if tail[1:2] in ("္", "ာ") else 1
+
+
 class Model:
     """Word frequencies over character trigrams, both of the corpus."""
 
@@ -68,7 +83,8 @@ class Model:
         self.floor = math.log(1e-6)
         self.memo: dict[str, float] = {}
         self.scores: dict[str, float] = {}
-        self.runs: dict[tuple[str, str, str], tuple[str, int, int]] = {}
+        self.runs: dict[tuple[str, str], list[tuple[str, int, int]]] = {}
+        self.moves: dict[tuple[str, str], tuple[float, str]] = {}
         self.steps: dict[tuple[tuple[str, ...], ...], np.ndarray] = {}
 
     def char(self, before: str, c: str) -> float:
@@ -87,9 +103,7 @@ class Model:
         low = run.lower()
         parts = _SYLLABLES.findall(run) if "က" <= run[0] <= "႟" else [low]
         seen = (self.floor - 2.5) * (len(run) - sum(map(len, parts)))  # characters outside any syllable
-        for p in parts:
-            n = self.word.get(p, 0)
-            seen += math.log(n / self.total) if n else self.floor - 2.5 * len(p)
+        seen += sum(map(self.whole, parts))
         return 0.5 * seen + 0.5 * self.spelled(low)
 
     def score(self, text: str) -> float:
@@ -105,6 +119,61 @@ class Model:
             total += known
         return total
 
+    def whole(self, w: str) -> float:
+        """Log probability of a word or syllable."""
+        n = self.word.get(w, 0)
+        return math.log(n / self.total) if n else self.floor - 2.5 * len(w)
+
+    @cached_property
+    def prefixes(self) -> frozenset[str]:
+        return frozenset(w[:i] for w in self.word for i in range(1, len(w) + 1))
+
+    def move(self, tail: str, c: str) -> tuple[float, str]:
+        """(log probability, new tail) when a lower-case letter, or "" for anything else, follows the tail of a word.
+
+        The tail is what of the last word or syllable may still become one of
+        the corpus; \\0 stands before one that can't, whose letters are paid.
+        The sums are those of :meth:`score`.
+        """
+        known = self.moves.get((tail, c))
+        if known is None:
+            if len(self.moves) > 200_000:
+                self.moves.clear()
+            known = self.moves[tail, c] = self._move(tail, c)
+        return known
+
+    def _move(self, tail: str, c: str) -> tuple[float, str]:
+        lost, t = tail[:1] == "\0", tail.lstrip("\0")
+        burmese = bool(_MYANMAR.match(t))
+        if not c or tail and burmese != bool(_MYANMAR.match(c)):  # the word is over
+            parts = _SYLLABLES.findall(t) if burmese else [t]
+            cost = sum(map(self.whole, parts[lost:])) if tail else 0.0
+            if not c:
+                return cost, ""
+            more, new = self._move("", c)
+            return cost + more, new
+        if not _MYANMAR.match(c):
+            if lost:
+                return -2.5, "\0"
+            return (0.0, t + c) if t + c in self.prefixes else (self.floor - 2.5 * len(t + c), "\0")
+        paid, t = _paid(t) if lost else 0, t + c
+        found = list(_SYLLABLES.finditer(t))
+        if not found or found[-1].end() < len(t):  # a digit, or a mark outside any syllable
+            parts = [m.group() for m in found]
+            return sum(map(self.whole, parts[lost:])) - 2.5 * (len(parts[0]) - paid if lost else 0) + self.floor - 2.5, ""
+        # a consonant at the end begins a syllable unless a killer follows
+        open_at = len(t) - len(m.group()) if (m := _UNDECIDED.search(t)) and len(found) > 1 else len(t)
+        start = max(m.start() for m in found if m.start() < open_at)
+        cost = sum(self.whole(m.group()) for m in found[lost:] if m.start() < start)
+        if start and lost:
+            cost, lost, paid = cost - 2.5 * (found[0].end() - paid), False, 0
+        body, rest = t[start:open_at], t[open_at:]
+        if lost:
+            return cost - 2.5 * (len(body) - paid), "\0" + _standing(body) + rest
+        if body in self.prefixes:
+            return cost, body + rest
+        return cost + self.floor - 2.5 * len(body), "\0" + _standing(body) + rest
+
     @cached_property
     def latin(self) -> tuple[str, ...]:
         """The letters beyond ASCII that a lost byte may have been."""
@@ -228,51 +297,69 @@ def _by_length(letters: frozenset[str]) -> dict[int, list[str]]:
 
 
 _RUN = re.compile("[^\x00-\x7f]+")
+_STRETCH = re.compile("[A-Za-z]*(?:[^\x00-\x7f]+[A-Za-z]*)+")
 
 
 def decode_bytes(text: str, codec: str, model: Model) -> tuple[str, int]:
     """(best reading, bytes decoded) under one byte channel.
 
     ASCII never is part of a longer sequence, so each run of other characters
-    has its own lattice.  A run is read anew only if most of it decodes.
+    with the letters around it has its own lattice.  A run is read anew only
+    if most of it decodes.
     """
     out, at, total = [], 0, 0
     hint = _hint(codec)
-    for m in _RUN.finditer(text):
-        run = m.group()
-        if hint.search(run):
-            before = "".join(c for c in text[max(0, m.start() - 2) : m.start()].lower() if c.isalpha())
-            key = (codec, before, run)
+    for m in _STRETCH.finditer(text):
+        stretch = m.group()
+        if hint.search(stretch):
+            key = (codec, stretch)
             known = model.runs.get(key)
             if known is None:
                 if len(model.runs) > 50_000:
                     model.runs.clear()
-                known = model.runs[key] = _decode_run(run, codec, model, before or "^")
-            reading, decoded, kept = known
-            if decoded and kept <= 0.34 * len(run):
-                out += [text[at : m.start()], reading]
-                at, total = m.end(), total + decoded
+                known = model.runs[key] = _decode_stretch(stretch, codec, model)
+            for run, (reading, decoded, kept) in zip(_RUN.finditer(stretch), known):
+                if decoded and kept <= 0.34 * len(run.group()):
+                    out += [text[at : m.start() + run.start()], reading]
+                    at, total = m.start() + run.end(), total + decoded
     return "".join(out) + text[at:], total
 
 
-def _decode_run(run: str, codec: str, model: Model, before: str, width: int = 12) -> tuple[str, int, int]:
-    """(reading, bytes decoded, characters of the codec kept): Viterbi over the byte lattice of a run."""
-    data = _to_bytes(run, codec)
+def _decode_stretch(stretch: str, codec: str, model: Model) -> list[tuple[str, int, int]]:
+    """(reading, bytes decoded, characters of the codec kept) of each run: Viterbi over the byte lattice of a stretch of words.
+
+    A state is all that the scores of what follows depend on: the last two
+    characters and what :meth:`Model.move` keeps of the word.  None is dropped.
+    """
+    data: list[tuple[int, str]] = []
+    of: list[int] = []  # number of the run, or -1 where nothing can be read anew
+    hint, at = _hint(codec), 0
+    for k, m in enumerate(_RUN.finditer(stretch)):
+        data += [(-2, c) for c in stretch[at : m.start()]]
+        of += [-1] * (m.start() - at)
+        part = _to_bytes(m.group(), codec) if hint.search(m.group()) else None
+        data += [(-2, c) for c in m.group()] if part is None else part
+        of += [-1] * len(m.group()) if part is None else [k] * len(part)
+        at = m.end()
+    data += [(-2, c) for c in stretch[at:]]
+    of += [-1] * (len(stretch) - at)
     n, letters = len(data), frozenset(model.letters)
-    # at each byte position, by the last two characters: (score, text, decoded, kept)
-    at: list[dict[str, tuple[float, str, int, int]]] = [{} for _ in range(n + 5)]
-    at[0][before] = (0.0, "", 0, 0)
+    # at each byte position, by state: (score, value before, run, character, decoded, kept)
+    ways: list[dict[tuple[str, str], tuple]] = [{} for _ in range(n + 5)]
+    ways[0]["^", ""] = (0.0, None, -1, "", 0, 0)
     for i in range(n):
-        if not at[i]:
+        if not ways[i]:
             continue
         b, c = data[i]
         options: list[tuple[int, str, float, int, int]] = []
-        if c:
+        if of[i] < 0:
+            options.append((1, c, 0.0, 0, 0))
+        elif c:
             step = 2 if i + 1 < n and data[i + 1][1] == "" else 1
             options.append((step, c, -9.0, 0, int(b >= 0)))
         else:
             options.append((1, LOST, -12.0, 0, 1))  # second half of a character whose first half was used
-        for size in (2, 3, 4):
+        for size in (2, 3, 4) if of[i] >= 0 else ():
             if i + size > n or (b != -1 and _lead(b) != size):
                 continue
             seq = [x for x, _ in data[i : i + size]]
@@ -284,19 +371,31 @@ def _decode_run(run: str, codec: str, model: Model, before: str, width: int = 12
                     options.append((size, ch, -0.5 * lost, size, 0))
                 elif not lost and ch in _bytes_of("cp1252"):  # it may have been misread twice
                     options.append((size, ch, -3.0, size, 0))
-        for key, (score, out, done, kept) in sorted(at[i].items(), key=lambda kv: -kv[1][0])[:width]:
-            for step, ch, cost, d, k in options:
-                low = ch.lower()
-                if low.isalpha() or _MYANMAR.match(low):
-                    s, new = model.char(key[-2:], low) if len(low) == 1 else -8.0, (key + low)[-2:]
-                else:
-                    s, new = (model.char(key[-2:], "$") if key != "^" else 0.0), "^"
-                value = (score + s + cost, out + ch, done + d, kept + k)
-                old = at[i + step].get(new)
-                if old is None or value[0] > old[0]:
-                    at[i + step][new] = value
-    best = max(at[n].values(), default=None, key=lambda v: v[0])
-    return (best[1], best[2], best[3]) if best else (run, 0, len(run))
+        char, move, moves = model.char, model.move, model.moves
+        for step, ch, cost, d, k in options:
+            low, to, scores = ch.lower(), ways[i + step], {}
+            letter, single = bool(low.isalpha() or _MYANMAR.match(low)), len(low) == 1
+            c = low if letter else ""
+            for (key, tail), before in ways[i].items():
+                s = scores.get(key)
+                if s is None:
+                    if letter:
+                        s = scores[key] = cost + 0.5 * (char(key[-2:], low) if single else -8.0)
+                    else:
+                        s = scores[key] = cost + (0.5 * char(key[-2:], "$") if key != "^" else 0.0)
+                seen, now = moves.get((tail, c)) or move(tail, c)
+                score, state = before[0] + s + 0.5 * seen, ((key + low)[-2:] if letter else "^", now)
+                old = to.get(state)
+                if old is None or score > old[0]:
+                    to[state] = (score, before, of[i], ch, d, k)
+    runs: list[list] = [["", 0, 0] for _ in _RUN.finditer(stretch)]
+    ends = [(v[0] + 0.5 * model.move(tail, "")[0] + (0.5 * model.char(key[-2:], "$") if key != "^" else 0.0), v) for (key, tail), v in ways[n].items()]
+    way = max(ends, key=lambda x: x[0])[1] if ends else None
+    while way:
+        _, way, k, ch, decoded, kept = way
+        if k >= 0:
+            runs[k] = [ch + runs[k][0], runs[k][1] + decoded, runs[k][2] + kept]
+    return [tuple(r) for r in runs]
 
 
 def swap_bytes(text: str, model: Model) -> tuple[str, str | None]:
