@@ -232,3 +232,9 @@ def test_stuffing(spark):
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*good, *bad, "good", "", None])], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in stuffing.stuffed(df).collect()) == [60, 61, 62]
     assert stuffing.stuffed(df.limit(0)).count() == 0
+
+
+def test_terms_keep_prose_and_list_counts_together(spark):
+    rows = [("+en", "rare", 9, 1_000_000), ("-False", "rare", 5, 1000), ("+en", "gone", 9, 1_000_000), ("+en", "the", 500, 1_000_000), ("+my", "rare", 1, 1_000_000)]
+    df = spark.createDataFrame(rows, "g string, token string, n long, all long")
+    assert stuffing._paired(df, [("en", False), ("my", True)], 1e-5) == {("+en", "rare"): 9, ("-False", "rare"): 5, ("+en", "the"): 500}

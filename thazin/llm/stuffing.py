@@ -27,7 +27,7 @@ PIECE_TOKENS = 28
 MIN_TOKENS = 8  # shorter pieces are never list material
 HEAD_SHARE = 0.15  # a word in this share of a language's documents is one of its common words
 LANGUAGE_SHARE = 0.005  # labels of fewer documents have no prose of their own
-TERM_SHARE = 1e-5  # rarer terms have no weight, so at most 1 / TERM_SHARE per language have one
+TERM_SHARE = 1e-5  # terms rarer in all prose and lists of a script have no weight, so at most 1 / TERM_SHARE per group bring one
 DIVERGENT, SUSPECT, FAR = 0.0, 0.6, 3.0
 _TOKENS = re.compile(
     r"(?P<url>(?:https?://|www\.)\S+|\b[\w-]+\.[a-z]{2,9}/\S*|\b[\w-]+\.(?:test|invalid|example|com|net|org|info|biz|shop|store)\b\S*)"
@@ -93,6 +93,18 @@ def _collected(df: DataFrame, kind: str, share: float) -> dict[tuple[str, str],
     return {(r[0], r[1]): r[2] for r in df.where(F.col("n") >= F.col("all") * share).select("g", "token", "n").toLocalIterator()}
 
 
+def _paired(df: DataFrame, burmese: list[tuple[str, bool]], share: float) -> dict[tuple[str, str], int]:
+    """Counts (group, token) -> n of prose and lists: all of a token that reaches the share in either group of a script, so that none is read as 0.
+
+    At most 1 / share tokens a group reach it; the other groups of the script hold no more of those.
+    """
+    script = {f"-{my}": str(my) for my in (True, False)} | {f"+{x}": str(my) for x, my in burmese}
+    name = F.create_map(*(F.lit(v) for kv in script.items() for v in kv))
+    seen = df.withColumn("script", F.coalesce(name[F.col("g")], F.lit("")))
+    chosen = seen.where(F.col("n") >= F.col("all") * share).select("script", "token").distinct()
+    return {(r[0], r[1]): r[2] for r in seen.join(chosen, ["script", "token"], "left_semi").select("g", "token", "n").toLocalIterator()}
+
+
 def _summed(df: DataFrame, columns: list[str], count) -> DataFrame:
     """(g, token, n): counters per task, summed by key; kept, as callers read them several times."""
 
@@ -146,7 +158,7 @@ def fitted(df: DataFrame, text_col: str, lang_col: str) -> Prose:
     df2 = _summed(src, ["_t"], in_pieces)
     sums = df2.groupBy("g").agg(F.sum("n").alias("all"))
     size = {r[0]: r[1] for r in sums.collect()}  # two rows per language at most
-    counts = _collected(df2.join(F.broadcast(sums), "g"), "g", TERM_SHARE)
+    counts = _paired(df2.join(F.broadcast(sums), "g"), list(first.burmese.items()), TERM_SHARE)
     by_group: dict[str, dict[str, int]] = defaultdict(dict)
     for (g, w), n in counts.items():
         by_group[g][w] = n
