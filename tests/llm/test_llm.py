@@ -1,4 +1,5 @@
 import collections
+import itertools
 
 import numpy as np
 import pytest
@@ -158,22 +159,68 @@ def test_all_lost_letters_are_tried():
         assert m.spelled(m.completed(pattern)) == pytest.approx(max(map(m.spelled, every)))
 
 
-def test_word_moves_add_up_to_the_score():
-    words = ["မြန်မာ", "စာပေ", "ကျောင်းသားတို့", "သင်္ဘော", "ဗုဒ္ဓဘာသာ", "château", "chat", "café"]
+def test_lattice_paths_are_the_best_of_all():
+    """Against a sum over every cut of every reading."""
+    words = ["ကို", "မှာ", "သည်", "သူ", "မီး", "café", "chat"]
     word, tri = collections.Counter(), collections.Counter()
     for w in words * 3:
         word.update(encoding.words(w))
         tri.update(encoding.trigrams(w))
-    m, rng = encoding.Model(dict(word), dict(tri)), np.random.default_rng(2)
-    letters = "ကနမသတ့်း္ျြာိုင၀ဿၐ"
-    texts = [*words, "chatx", "chateaux café", "မြန် chat", *("".join(rng.choice(list(letters), 9)) for _ in range(3000))]
+    m = encoding.Model(word, dict(tri))
+
+    def value(text, at=0, state=""):
+        if at == len(text):
+            return max((p for p, _ in m.follow(state, "")), default=-1e9)
+        return max((p + value(text, at + 1, new) for p, new in m.follow(state, text[at])), default=-1e9)
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        original = "".join(words[int(rng.integers(5))] for _ in range(2))
+        garbled = original.encode().decode("cp1252", "replace")
+        got, _ = encoding.decode_bytes(garbled, "cp1252", m)
+        undefined = encoding._undefined("cp1252")
+        # every letter whose bytes agree where nothing was lost
+        options = []
+        for i in range(0, len(garbled), 3):
+            seq = [-1 if c == encoding.LOST else c.encode("cp1252")[0] for c in garbled[i : i + 3]]
+            fits = [(c, sum(-0.5 if b in undefined else -3.0 for b, x in zip(c.encode(), seq) if x == -1)) for c in m.letters if len(c.encode()) == 3 and all(x in (-1, b) for b, x in zip(c.encode(), seq))]
+            options.append(fits)
+        best = max((sum(p for _, p in way) + value("".join(c for c, _ in way)), "".join(c for c, _ in way)) for way in itertools.product(*options))
+        cost = sum(next(p for c, p in o if c == g) for o, g in zip(options, got))
+        assert cost + value(got) == pytest.approx(best[0])
+
+
+def test_single_letters_are_swapped_back():
+    texts = ["Le médecin a mesuré le petit marché avant midi.", "Personne ne sait où le père à la fête était."] * 5
+    word, tri = collections.Counter(), collections.Counter()
     for t in texts:
-        got, tail = 0.0, ""
-        for c in [*t, ""]:
-            cost, tail = m.move(tail, c if c.strip() else "")
-            got += cost
-        want = 2 * sum(m._score(x.group()) - 0.5 * m.spelled(x.group().lower()) for x in encoding._WORDS.finditer(t))
-        assert got == pytest.approx(want), t
+        word.update(encoding.words(t))
+        tri.update(encoding.trigrams(t))
+    m = encoding.Model(word, dict(tri))
+    for codec in ("cp1251", "mac_roman", "cp437", "cp850"):
+        for t in texts[:2]:
+            garbled = t.encode("cp1252").decode(codec)
+            assert encoding.repair(garbled, m)[:2] == (True, t), (codec, garbled)
+    assert encoding.repair("Le m?decin a mesur? le petit march?", m)[1].startswith("Le médecin")
+    assert encoding.repair("???? ????? ??", m) == (True, "???? ????? ??", "replaced")
+    assert encoding.repair("Quoi ? Où ?? Le petit marché ?", m)[0] is False
+
+
+def test_repeated_misreadings_are_undone_to_the_end():
+    good = LATIN["fr"][0]
+    word, tri = collections.Counter(encoding.words(good)), collections.Counter(encoding.trigrams(good))
+    m, t = encoding.Model(dict(word), dict(tri)), good
+    for _ in range(5):
+        t = t.encode().decode("latin-1")
+    assert encoding.repair(t, m)[1] == good
+
+
+def test_bracketed_languages_count_whatever_the_length_of_the_text():
+    short, long = "A (မနေ့က ကျောင်းသားတို့ စာဖတ်ခဲ့သည်။) b", "word " * 40 + "(မနေ့က ကျောင်းသားတို့ စာဖတ်ခဲ့သည်။ " + "နောက်တစ်နေ့ သွားသည်။ " * 5 + ") end of it"
+    for t in (short, long):
+        parts = language.segments(t)
+        assert "".join(c for p in parts for c in p if c.isalpha()) == "".join(c for c in t if c.isalpha()) or sorted("".join(parts).replace(" ", "")) == sorted(t.replace(" ", "").replace("(", "").replace(")", ""))
+        assert any("ကျောင်း" in p and language.weight(p) for p in parts)
 
 
 def test_lost_bytes_by_words_with_all_states():

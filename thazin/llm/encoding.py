@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
@@ -35,6 +36,9 @@ _WORDS = re.compile("[က-႟]+|[^\\W\\d_က-႟]+")
 _SYLLABLES = re.compile("[က-အဣ-ဪဿၐ-ၕၚ-ၝၡၥၦၮ-ၰၵ-ႁႎ](?:္[က-အၐ-ႁ])*(?:(?![က-အဣ-ဪဿ၀-၏ၐ-ၕၚ-ၝၡၥၦၮ-ၰၵ-ႁႎ]).|[က-အၵ-ႁ](?=[့း]*်))*", re.S)
 _MYANMAR = re.compile("[က-႟]")
 LOST = "�"
+SYMBOL = 6.0  # log cost of a symbol where a letter is expected
+SWAP_GAIN = 10.0  # log probability that the words of a text must gain together
+KEPT = -9.0  # log cost of a character of the codec that is kept within a run
 
 
 def words(text: str) -> Iterator[str]:
@@ -54,21 +58,6 @@ def trigrams(text: str) -> Iterator[str]:
             yield w[max(0, i - 1) : i + 2]
 
 
-_UNDECIDED = re.compile("[က-အၵ-ႁ][့း]*$")
-_STACK = re.compile("[က-အဣ-ဪဿၐ-ၕၚ-ၝၡၥၦၮ-ၰၵ-ႁႎ](?:္[က-အၐ-ႁ])*")
-
-
-def _standing(body: str) -> str:
-    """A short syllable that the same characters may follow as a given one."""
-    m = _STACK.match(body)
-    return "က" if m.end() == len(body) else "က္" if body[m.end() :] == "္" else "ကာ"
-
-
-def _paid(tail: str) -> int:
-    """Length of the short syllable at the start of a tail."""
-    return 2 if tail[1:2] in ("္", "ာ") else 1
-
-
 class Model:
     """Word frequencies over character trigrams, both of the corpus."""
 
@@ -84,7 +73,7 @@ class Model:
         self.memo: dict[str, float] = {}
         self.scores: dict[str, float] = {}
         self.runs: dict[tuple[str, str], list[tuple[str, int, int]]] = {}
-        self.moves: dict[tuple[str, str], tuple[float, str]] = {}
+        self.moves: dict[tuple[str, str], tuple[tuple[float, str], ...]] = {}
         self.steps: dict[tuple[tuple[str, ...], ...], np.ndarray] = {}
 
     def char(self, before: str, c: str) -> float:
@@ -128,51 +117,70 @@ class Model:
     def prefixes(self) -> frozenset[str]:
         return frozenset(w[:i] for w in self.word for i in range(1, len(w) + 1))
 
-    def move(self, tail: str, c: str) -> tuple[float, str]:
-        """(log probability, new tail) when a lower-case letter, or "" for anything else, follows the tail of a word.
+    @cached_property
+    def pairs(self) -> Counter:
+        """Counts of neighbouring letters."""
+        out: Counter = Counter()
+        for t, n in self.tri.items():
+            out[t[-2:]] += n
+        return out
+
+    @cached_property
+    def firsts(self) -> Counter:
+        out: Counter = Counter()
+        for t, n in self.pairs.items():
+            out[t[0]] += n
+        return out
+
+    def pair(self, a: str, b: str) -> float:
+        return math.log((self.pairs.get(a + b, 0) + 0.02) / (self.firsts.get(a, 0) + 2.0))
+
+    def follow(self, state: str, c: str) -> tuple[tuple[float, str], ...]:
+        """(log probability, new state) of each way on when a lower-case letter, or "" for anything else, follows.
 
-        The tail is what of the last word or syllable may still become one of
-        the corpus; \\0 stands before one that can't, whose letters are paid.
-        The sums are those of :meth:`score`.
+        A state is what later scores depend on: "" between words, a prefix of
+        a corpus word, or \\0 and the last letter of a word the corpus lacks,
+        which is paid by its pairs of letters.  Burmese syllables follow each
+        other without a gap; other words end where their letters end.
         """
-        known = self.moves.get((tail, c))
+        known = self.moves.get((state, c))
         if known is None:
             if len(self.moves) > 200_000:
                 self.moves.clear()
-            known = self.moves[tail, c] = self._move(tail, c)
+            known = self.moves[state, c] = tuple(self._follow(state, c))
         return known
 
-    def _move(self, tail: str, c: str) -> tuple[float, str]:
-        lost, t = tail[:1] == "\0", tail.lstrip("\0")
-        burmese = bool(_MYANMAR.match(t))
-        if not c or tail and burmese != bool(_MYANMAR.match(c)):  # the word is over
-            parts = _SYLLABLES.findall(t) if burmese else [t]
-            cost = sum(map(self.whole, parts[lost:])) if tail else 0.0
+    def _follow(self, state: str, c: str) -> Iterator[tuple[float, str]]:
+        burmese = bool(_MYANMAR.match(state[-1:]))
+        joined = bool(state and c) and burmese == bool(_MYANMAR.match(c))
+        unknown = state[:1] == "\0"
+        if joined and unknown:
+            yield self.pair(state[1], c), "\0" + c
+        elif joined and state + c in self.prefixes:
+            yield 0.0, state + c
+        if joined and not burmese:
+            return
+        # the word is over
+        if not state or unknown or state in self.word:
+            paid = 0.0 if not state else self.pair(state[1], "$") if unknown else self.whole(state)
             if not c:
-                return cost, ""
-            more, new = self._move("", c)
-            return cost + more, new
-        if not _MYANMAR.match(c):
-            if lost:
-                return -2.5, "\0"
-            return (0.0, t + c) if t + c in self.prefixes else (self.floor - 2.5 * len(t + c), "\0")
-        paid, t = _paid(t) if lost else 0, t + c
-        found = list(_SYLLABLES.finditer(t))
-        if not found or found[-1].end() < len(t):  # a digit, or a mark outside any syllable
-            parts = [m.group() for m in found]
-            return sum(map(self.whole, parts[lost:])) - 2.5 * (len(parts[0]) - paid if lost else 0) + self.floor - 2.5, ""
-        # a consonant at the end begins a syllable unless a killer follows
-        open_at = len(t) - len(m.group()) if (m := _UNDECIDED.search(t)) and len(found) > 1 else len(t)
-        start = max(m.start() for m in found if m.start() < open_at)
-        cost = sum(self.whole(m.group()) for m in found[lost:] if m.start() < start)
-        if start and lost:
-            cost, lost, paid = cost - 2.5 * (found[0].end() - paid), False, 0
-        body, rest = t[start:open_at], t[open_at:]
-        if lost:
-            return cost - 2.5 * (len(body) - paid), "\0" + _standing(body) + rest
-        if body in self.prefixes:
-            return cost, body + rest
-        return cost + self.floor - 2.5 * len(body), "\0" + _standing(body) + rest
+                yield paid, ""
+                return
+            if c in self.prefixes:
+                yield paid, c
+            if not (joined and unknown):
+                yield paid + self.floor + self.pair("^", c), "\0" + c
+
+    @cached_property
+    def blocks(self) -> frozenset[int]:
+        """Blocks of code points that hold many of the corpus letters, so that rare ones of the same scripts are letters too."""
+        seen = Counter(ord(c) >> 7 for c in self.letters)
+        return frozenset(b for b, n in seen.items() if n > 9)
+
+    def spelt(self, c: str) -> bool:
+        """Whether a character may stand in the corpus."""
+        low = c.lower()
+        return low in self.letters or not c.isalnum() or c.isdigit() or ord(c) >> 7 in self.blocks
 
     @cached_property
     def latin(self) -> tuple[str, ...]:
@@ -212,13 +220,15 @@ class Model:
             j, k = int(best[j, k]), j
         return "".join(reversed(out))
 
-    def completed(self, pattern: str) -> str:
-        """A word in lower case with its lost letters: the most frequent corpus word that fits, else the most probable spelling."""
+    def fitting(self, pattern: str) -> str | None:
+        """The most frequent corpus word that a word in lower case with lost letters may be."""
         gone = str.maketrans(dict.fromkeys(self.latin, LOST))
         fits = [w for w in self.by_pattern.get(pattern.translate(gone), ()) if all(p in (c, LOST) for p, c in zip(pattern, w))]
-        if fits:
-            return max(fits, key=lambda w: (self.word[w], self.spelled(w)))
-        return self.likeliest([self.latin if c == LOST else (c,) for c in pattern])
+        return max(fits, key=lambda w: (self.word[w], self.spelled(w)), default=None)
+
+    def completed(self, pattern: str) -> str:
+        """A word with its lost letters: the most frequent corpus word that fits, else the most probable spelling."""
+        return self.fitting(pattern) or self.likeliest([self.latin if c == LOST else (c,) for c in pattern])
 
 
 # ------------------------------------------------------------------ byte channels
@@ -285,17 +295,29 @@ def _fill(seq: list[int], letters: frozenset[str]) -> list[str]:
             return [bytes(seq).decode("utf-8")]
         except UnicodeDecodeError:
             return []
-    return [c for c in _by_length(letters).get(len(seq), ()) if all(b == -1 or b == x for b, x in zip(seq, c.encode("utf-8")))]
+    return [c for c, coded in _by_length(letters).get(len(seq), ()) if all(b == -1 or b == x for b, x in zip(seq, coded))]
 
 
 @lru_cache(2)
-def _by_length(letters: frozenset[str]) -> dict[int, list[str]]:
-    out: dict[int, list[str]] = {}
+def _by_length(letters: frozenset[str]) -> dict[int, list[tuple[str, bytes]]]:
+    out: dict[int, list[tuple[str, bytes]]] = {}
     for c in sorted(letters | PLAIN):
-        out.setdefault(len(c.encode("utf-8")), []).append(c)
+        out.setdefault(len(c.encode("utf-8")), []).append((c, c.encode("utf-8")))
     return out
 
 
+@lru_cache(None)
+def _undefined(codec: str) -> frozenset[int]:
+    """Bytes a one-byte codec has no character for: those that are lost in reading."""
+    out = set()
+    for b in range(0x80, 0x100):
+        try:
+            bytes([b]).decode(codec)
+        except UnicodeDecodeError:
+            out.add(b)
+    return frozenset(out)
+
+
 _RUN = re.compile("[^\x00-\x7f]+")
 _STRETCH = re.compile("[A-Za-z]*(?:[^\x00-\x7f]+[A-Za-z]*)+")
 
@@ -325,11 +347,15 @@ def decode_bytes(text: str, codec: str, model: Model) -> tuple[str, int]:
     return "".join(out) + text[at:], total
 
 
+def _letter(c: str) -> bool:
+    return c.isalpha() or "\u102b" <= c <= "\u103e" or "\u1056" <= c <= "\u109f"
+
+
 def _decode_stretch(stretch: str, codec: str, model: Model) -> list[tuple[str, int, int]]:
     """(reading, bytes decoded, characters of the codec kept) of each run: Viterbi over the byte lattice of a stretch of words.
 
-    A state is all that the scores of what follows depend on: the last two
-    characters and what :meth:`Model.move` keeps of the word.  None is dropped.
+    The words of a path are paid by their frequencies in the corpus.  All
+    states are kept, so the path is the best one.
     """
     data: list[tuple[int, str]] = []
     of: list[int] = []  # number of the run, or -1 where nothing can be read anew
@@ -344,9 +370,11 @@ def _decode_stretch(stretch: str, codec: str, model: Model) -> list[tuple[str, i
     data += [(-2, c) for c in stretch[at:]]
     of += [-1] * (len(stretch) - at)
     n, letters = len(data), frozenset(model.letters)
+    undefined = _undefined(codec) if codec != "gbk" else frozenset()
     # at each byte position, by state: (score, value before, run, character, decoded, kept)
-    ways: list[dict[tuple[str, str], tuple]] = [{} for _ in range(n + 5)]
-    ways[0]["^", ""] = (0.0, None, -1, "", 0, 0)
+    ways: list[dict[str, tuple]] = [{} for _ in range(n + 5)]
+    ways[0][""] = (0.0, None, -1, "", 0, 0)
+    follow, moves = model.follow, model.moves
     for i in range(n):
         if not ways[i]:
             continue
@@ -356,40 +384,34 @@ def _decode_stretch(stretch: str, codec: str, model: Model) -> list[tuple[str, i
             options.append((1, c, 0.0, 0, 0))
         elif c:
             step = 2 if i + 1 < n and data[i + 1][1] == "" else 1
-            options.append((step, c, -9.0, 0, int(b >= 0)))
+            options.append((step, c, KEPT, 0, int(b >= 0)))
         else:
-            options.append((1, LOST, -12.0, 0, 1))  # second half of a character whose first half was used
+            options.append((1, LOST, KEPT - 3.0, 0, 1))  # second half of a character whose first half was used
         for size in (2, 3, 4) if of[i] >= 0 else ():
             if i + size > n or (b != -1 and _lead(b) != size):
                 continue
             seq = [x for x, _ in data[i : i + size]]
             if all(x == -1 for x in seq[: 2 if b == -1 else 1]) or any(x != -1 and not 0x80 <= x <= 0xBF for x in seq[1:]):
                 continue
-            lost = seq.count(-1)
+            lost = [k for k, x in enumerate(seq) if x == -1]
             for ch in _fill(seq, letters):
-                if ch.lower() in letters or not ch.isalnum():
-                    options.append((size, ch, -0.5 * lost, size, 0))
+                if model.spelt(ch):
+                    coded = ch.encode("utf-8") if lost else b""
+                    options.append((size, ch, sum(-0.5 if coded[k] in undefined else -3.0 for k in lost) - (0.0 if not lost or _letter(ch) else 8.0), size, 0))
                 elif not lost and ch in _bytes_of("cp1252"):  # it may have been misread twice
                     options.append((size, ch, -3.0, size, 0))
-        char, move, moves = model.char, model.move, model.moves
+        here = ways[i].items()
         for step, ch, cost, d, k in options:
-            low, to, scores = ch.lower(), ways[i + step], {}
-            letter, single = bool(low.isalpha() or _MYANMAR.match(low)), len(low) == 1
-            c = low if letter else ""
-            for (key, tail), before in ways[i].items():
-                s = scores.get(key)
-                if s is None:
-                    if letter:
-                        s = scores[key] = cost + 0.5 * (char(key[-2:], low) if single else -8.0)
-                    else:
-                        s = scores[key] = cost + (0.5 * char(key[-2:], "$") if key != "^" else 0.0)
-                seen, now = moves.get((tail, c)) or move(tail, c)
-                score, state = before[0] + s + 0.5 * seen, ((key + low)[-2:] if letter else "^", now)
-                old = to.get(state)
-                if old is None or score > old[0]:
-                    to[state] = (score, before, of[i], ch, d, k)
+            low = ch.lower() if len(ch.lower()) == 1 else ch
+            low, to, run = low if _letter(low) else "", ways[i + step], of[i]
+            for state, before in here:
+                sofar = before[0] + cost
+                for paid, new in moves.get((state, low)) or follow(state, low):
+                    old = to.get(new)
+                    if old is None or sofar + paid > old[0]:
+                        to[new] = (sofar + paid, before, run, ch, d, k)
     runs: list[list] = [["", 0, 0] for _ in _RUN.finditer(stretch)]
-    ends = [(v[0] + 0.5 * model.move(tail, "")[0] + (0.5 * model.char(key[-2:], "$") if key != "^" else 0.0), v) for (key, tail), v in ways[n].items()]
+    ends = [(v[0] + paid, v) for state, v in ways[n].items() for paid, _ in follow(state, "")]
     way = max(ends, key=lambda x: x[0])[1] if ends else None
     while way:
         _, way, k, ch, decoded, kept = way
@@ -398,27 +420,45 @@ def _decode_stretch(stretch: str, codec: str, model: Model) -> list[tuple[str, i
     return [tuple(r) for r in runs]
 
 
+@lru_cache(None)
+def _swap(read: str, meant: str) -> dict[str, str]:
+    """Characters as read, and as meant, of the bytes that are letters or marks in the encoding meant."""
+    out = {}
+    for c, b in _bytes_of(read).items():
+        try:
+            new = b.decode(meant)
+        except UnicodeDecodeError:
+            continue
+        if new != c and unicodedata.category(new)[0] in "LMN":
+            out[c] = new
+    return out
+
+
 def swap_bytes(text: str, model: Model) -> tuple[str, str | None]:
-    """One-byte text read in another one-byte encoding: whole runs whose every byte is a letter of the other one."""
-    found = None
+    """One-byte text read in another one-byte encoding: the words whose letters beyond ASCII all are bytes of letters of the other one.
+
+    A channel holds for a whole text: where its words gain enough together,
+    each word that gains is read anew, whatever its length.
+    """
+    found, odd = None, {c for c in text if c > "\x7f"}
     for read, meant in SWAPS:
-        table = _bytes_of(read)
+        table, gain = _swap(read, meant), 0.0
+        if odd.isdisjoint(table):
+            continue
 
         def fix(m: re.Match) -> str:
-            run = m.group()
-            raw = b"".join(table.get(c, b"") for c in run)
-            if len(run) < 3 or len(raw) != len(run):
-                return run
-            try:
-                new = raw.decode(meant)
-            except UnicodeDecodeError:
-                return run
-            known = sum(c.lower() in model.letters for c in new)
-            return new if known >= 0.9 * len(new) and model.score(new) > model.score(run) + 8 else run
-
-        reading = _RUN.sub(fix, text)
-        if reading != text and (found is None or model.score(reading) > found[0]):
-            found = (model.score(reading), reading, f"{meant} as {read}")
+            nonlocal gain
+            word = m.group()
+            new = "".join(c if c < "\x80" else table.get(c, "") for c in word)
+            if len(new) < len(word) or not all(c < "\x80" or model.spelt(c) for c in new):
+                return word
+            more = model.score(new) - model.score(word) + SYMBOL * sum(c in table and not c.isalnum() for c in word)
+            gain += max(0.0, more)
+            return new if more > 0 else word
+
+        reading = _STRETCH.sub(fix, text)
+        if gain > SWAP_GAIN and (found is None or gain > found[0]):
+            found = (gain, reading, f"{meant} as {read}")
     return (found[1], found[2]) if found else (text, None)
 
 
@@ -435,6 +475,28 @@ def restore_lost(text: str, model: Model) -> str:
     return re.sub(f"[^\\W\\d_]*{LOST}[^\\W\\d_{LOST}]*(?:{LOST}[^\\W\\d_]*)*", fix, text)
 
 
+_GONE = re.compile("(?<!\\S)\\?{2,}")
+_HOLED = re.compile("[^\\W\\d_]+(?:\\?[^\\W\\d_]+)+")
+
+
+def replaced(text: str, model: Model) -> tuple[str, bool]:
+    """(text, whether letters of it were replaced by question marks).
+
+    A question mark inside a word is restored where that gives a corpus word.
+    Words that only consist of question marks can't be, but four or more such
+    marks tell that something was there.
+    """
+    if "?" not in text:
+        return text, False
+
+    def fix(m: re.Match) -> str:
+        best = model.fitting(m.group().lower().replace("?", LOST))
+        return "".join(b if a == "?" else a for a, b in zip(m.group(), best)) if best else m.group()
+
+    new = _HOLED.sub(fix, text)
+    return new, new != text or sum(len(m.group()) for m in _GONE.finditer(text)) >= 4
+
+
 # ------------------------------------------------------------------ font-order channels
 
 _CHUNK = re.compile("[^\\s။၊]*[\\s။၊]*")
@@ -474,14 +536,16 @@ def font_order(text: str, model: Model, sibling: str | None = None) -> list[tupl
         if o is not None:
             undone = ("converted", o, model.score(o) - here + 4.0)
         out.append((s, [(None, s, 0.0), ("legacy", a, model.score(a) - here if a != s else 0.0), undone]))
-    paths: list[tuple[float, list[int]]] = [(-SWITCH * (k > 0), []) for k in range(3)]
+    paths, back = [-SWITCH * (k > 0) for k in range(3)], []
     for _, options in out:
-        now = []
-        for k in range(3):
-            score, way = max(((p - SWITCH * (j != k), w) for j, (p, w) in enumerate(paths)), key=lambda x: x[0])
-            now.append((score + options[k][2], [*way, k]))
-        paths = now
-    way = max(paths, key=lambda x: x[0])[1]
+        before = [max(range(3), key=lambda j, k=k: (paths[j] - SWITCH * (j != k), -j)) for k in range(3)]
+        paths = [paths[j] - SWITCH * (j != k) + options[k][2] for k, j in enumerate(before)]
+        back.append(before)
+    k, way = max(range(3), key=lambda j: (paths[j], -j)), []
+    for before in reversed(back):
+        way.append(k)
+        k = before[k]
+    way.reverse()
     return [(s, o[k][0] if o[k][1] != s else None, o[k][1]) for (s, o), k in zip(out, way)]
 
 
@@ -490,15 +554,13 @@ def repair(text: str | None, model: Model, sibling: str | None = None) -> tuple[
     if text is None:
         return False, None, None
     channels: list[str] = []
-    for _ in range(3):  # a text may have been misread repeatedly
+    while not text.isascii():  # a text may have been misread repeatedly; each reading is shorter
         found = None
-        if text.isascii():
-            break
         for codec in CODECS:
             if not _hint(codec).search(text):
                 continue
             reading, decoded = decode_bytes(text, codec, model)
-            if not decoded or reading == text:
+            if not decoded or len(reading.encode()) >= len(text.encode()):
                 continue
             left = sum(c > "\x7f" and c.lower() not in model.letters and c not in PLAIN for c in reading)
             odd = sum(c > "\x7f" and c.lower() not in model.letters and c not in PLAIN or c == LOST for c in text)
@@ -516,6 +578,9 @@ def repair(text: str | None, model: Model, sibling: str | None = None) -> tuple[
     if LOST in text:
         text = restore_lost(text, model)
         channels.append("lost")
+    text, gone = replaced(text, model)
+    if gone:
+        channels.append("replaced")
     if _MYANMAR.search(text):
         segments = font_order(text, model, sibling)
         kinds = {k for _, k, _ in segments if k}

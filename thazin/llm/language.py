@@ -167,35 +167,52 @@ _SCRIPTS = re.compile("([က-႟ꧠ-꧿ꩠ-ꩿ]+)|([฀-๿]+)|([^\\W\\d_က-႟
 _LETTER = re.compile("[^\\W\\d_]")
 
 
+_BRACKETS = re.compile("\\(([^()]*)\\)|\\[([^\\[\\]]*)\\]")
+
+
 def segments(text: str) -> list[str]:
-    """Pieces of one script between end marks, without names in brackets."""
-    text = re.sub("\\([^()]{0,60}\\)|\\[[^\\[\\]]{0,60}\\]", " ", text) if len(text) > 60 else re.sub("\\([^()]{0,60}\\)\\s*$", " ", text)
+    """Pieces of one script between end marks, in text order; what stands in brackets makes pieces of its own."""
+    found: list[tuple[int, str]] = []
+    for m in _BRACKETS.finditer(text):
+        found += [(m.start() + at, s) for at, s in _pieces(m.group()[1:-1])]
+    outside = _BRACKETS.sub(lambda m: " " * len(m.group()), text) if found else text
+    found += _pieces(outside)
+    return [s for _, s in sorted(found, key=lambda x: x[0])]
+
+
+def _pieces(text: str) -> list[tuple[int, str]]:
+    """(start, piece) between end marks and changes of script; pieces without a letter are none."""
     out = []
     for m in _PIECE.finditer(text):
-        piece, start, script, last = m.group(), 0, None, 0
+        piece, base, start, script = m.group(), m.start(), 0, None
         for r in _SCRIPTS.finditer(piece):
             kind = r.lastindex
             if script is not None and kind != script:
-                out.append(piece[start : r.start()])
+                out.append((base + start, piece[start : r.start()]))
                 start = r.start()
-            script, last = kind, r.end()
+            script = kind
         if script is not None:
-            out.append(piece[start:])
-    return [s.strip() for s in out if _LETTER.search(s)]
+            out.append((base + start, piece[start:]))
+    return [(at, s.strip()) for at, s in out if _LETTER.search(s)]
+
+
+MIN_LETTERS, MIN_WORDS = 9, 4  # what a piece must hold to be a sentence rather than a name; of words only in scripts with spaces
 
 
 def weight(segment: str) -> int:
-    """Letters and marks of a segment that may be a sentence of its own; 0 for names, titles and fragments."""
+    """Letters and marks of a segment that may be a sentence of its own; 0 for names and titles.
+
+    Weightless segments are scored and named like others; they only don't make
+    a text mixed, and decide its language where nothing else is there.
+    """
     letters = sum(c.isalpha() or "ါ" <= c <= "ှ" or "ၖ" <= c <= "႙" or "ั" <= c <= "๎" for c in segment)
-    if re.search("[က-႟]", segment):
-        return letters if letters >= 9 else 0
-    if re.search("[฀-๿]", segment):
-        return letters if letters >= 9 else 0
-    words = re.findall("[^\\W\\d_]+", segment)
-    if len(words) < 4 or letters < 14:
+    if letters < MIN_LETTERS:
         return 0
-    capital = sum(w[0].isupper() for w in words)
-    return 0 if capital == len(words) else letters
+    if not re.search("[က-႟฀-๿]", segment):
+        words = re.findall("[^\\W\\d_]+", segment)
+        if len(words) < MIN_WORDS or all(w[0].isupper() for w in words):
+            return 0
+    return letters
 
 
 MARGIN = 10.0  # bits by which a segment must differ from the language of the whole
