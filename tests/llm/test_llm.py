@@ -55,6 +55,51 @@ def test_packing(spark, capacity):
     assert packing.pack(df.limit(0), capacity=capacity).count() == 0
 
 
+def _triplets(n: int, capacity: int, seed: int) -> list[int]:
+    """Sizes between a quarter and half of the capacity that fill n bins without any waste."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < 3 * n:
+        a, b = (int(x) for x in rng.integers(capacity // 4 + 1, capacity // 2, 2))
+        if capacity // 4 < capacity - a - b < capacity // 2:
+            out += [a, b, capacity - a - b]
+    return [int(x) for x in rng.permutation(out)]
+
+
+def test_islands_beat_best_fit_decreasing_on_tight_items(spark):
+    saved = 0
+    for seed in range(3):
+        sizes = _triplets(20, 1000, seed)
+        down = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+        plain = len(packing.best_fit(down, sizes, [], 1000))
+        df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, tokens int")
+        out = packing.pack(df, capacity=1000, generations=150).collect()
+        bins = len({r.container_id for r in out})
+        assert sorted(r.doc_id for r in out) == list(range(60)) and 20 <= bins < plain
+        saved += plain - bins
+    assert saved >= 3
+
+
+def test_repeated_ids_never_share_a_full_container(spark):
+    df = spark.createDataFrame([(1, 5000), (1, 5000), (None, 4096), (1, 10), (None, None)], "doc_id long, tokens int")
+    out = packing.pack(df, capacity=2048).collect()
+    fill = collections.Counter()
+    for r in out:
+        fill[r.container_id] += r.tokens
+    assert max(fill.values()) <= 2048 and sum(fill.values()) == 14106 and all(fill[r.container_id] == r.container_tokens for r in out)
+
+
+def test_crossover_keeps_every_item_once():
+    import random
+
+    rng, sizes = random.Random(1), [random.Random(i).randint(1, 60) for i in range(300)]
+    a, b = (packing.best_fit(rng.sample(range(300), 300), sizes, [], 100) for _ in range(2))
+    for _ in range(20):
+        child = packing.mutate(packing.cross(a, b, sizes, 100, rng), sizes, 100, rng)
+        assert sorted(i for _, items in child for i in items) == list(range(300))
+        assert all(f == sum(sizes[i] for i in items) <= 100 for f, items in child)
+        a, b = b, child
+
+
 def test_skeleton_pairs(spark):
     assert skeleton.skeleton("Café") == skeleton.skeleton("Café") == skeleton.skeleton("Ｃａf​é")
     assert skeleton.skeleton("ခရိုင်") == skeleton.skeleton("ခရုိင်")
