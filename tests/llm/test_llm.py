@@ -326,6 +326,18 @@ def test_stuffing(spark):
     assert stuffing.stuffed(df.limit(0)).count() == 0
 
 
+def test_short_pages_and_rare_languages_are_judged(spark):
+    prose = ["I bought the kettle for my sister and it works as described, so we use it every morning.", "The handle of this lamp broke after two weeks and nobody answered my e-mails about it.", "It is a bit heavier than the old one but the colour is the same and I would buy it again."]
+    good = [(i, " ".join(prose[(i + k) % 3] for k in range(3)), "en") for i in range(300)]
+    bad = [(300 + i, "#kettle #lamp #mat " * 12, "en") for i in range(4)] + [(304 + i, "https://a.test/1 https://b.test/2 " * 9, "en") for i in range(4)] + [(310, "#kettle #lamp #mat #tent #pan", "en"), (311, "https://a.test/1 https://b.test/2 https://c.test/3", None)]
+    fine = [(320, "Good kettle", "en"), (321, "Keittimen kahva on hieno ja se toimii hyvin joka aamu. Ostin sen siskolleni.", "fi"), (322, "It is good. It is good. It is good.", "en")]
+    df = spark.createDataFrame([*good, *bad, *fine], "doc_id long, text string, lang string")
+    found = sorted(r.doc_id for r in stuffing.stuffed(df).collect())
+    assert found == [*range(300, 308), 310, 311]
+    few = stuffing.heads(df.select(F.col("text").alias("_t"), F.col("lang").alias("_l")))
+    assert {"the", "it"} <= few["en"] and "keittimen" in few["fi"]
+
+
 def test_terms_keep_prose_and_list_counts_together(spark):
     rows = [("+en", "rare", 9, 1_000_000), ("-False", "rare", 5, 1000), ("+en", "gone", 9, 1_000_000), ("+en", "the", 500, 1_000_000), ("+my", "rare", 1, 1_000_000)]
     df = spark.createDataFrame(rows, "g string, token string, n long, all long")

@@ -3,10 +3,11 @@
 A page is cut into pieces of comparable length.  For each piece a
 rank-frequency curve is fitted with SQL windows, and its divergence from
 prose of the same language is the mean log ratio of its tokens between prose
-and lists.  A piece is list material if it diverges by itself, or diverges
-less but its curve's slope, level or residual is far from that of prose
-pieces of its language and length; a page is found if most of its characters
-lie in such pieces.
+and lists.  All figures are compared with those of prose pieces of the same
+language and about the same number of tokens.  A piece is list material if
+its tokens together are too improbable as prose, or if its divergence and the
+slope, level or residual of its curve are extreme among such pieces; a page
+is found if most of its characters lie in list material.
 """
 
 from __future__ import annotations
@@ -17,18 +18,21 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thazin.llm.encoding import _SYLLABLES
 from thazin.session import cut, spread
 
 PIECE_TOKENS = 28
-MIN_TOKENS = 8  # shorter pieces are never list material
+SEED_TOKENS = 10  # pieces below this teach nothing about prose and lists; they are judged like others
 HEAD_SHARE = 0.15  # a word in this share of a language's documents is one of its common words
-LANGUAGE_SHARE = 0.005  # labels of fewer documents have no prose of their own
+LANGUAGES = 200  # labels with prose of their own, the most frequent; the rest share that of "*"
 TERM_SHARE = 1e-5  # terms rarer in all prose and lists of a script have no weight, so at most 1 / TERM_SHARE per group bring one
-DIVERGENT, SUSPECT, FAR = 0.0, 0.6, 3.0
+PROSE_MASS = 0.5  # share of common words in a piece that is clearly prose
+CURVE_TOKENS = 8  # tokens from which a rank-frequency curve is fitted
+EVIDENCE = 5.0  # log odds of lists against prose over a piece from which it is list material
+FAR = 3.0  # standard deviations from prose of the language and length that are extreme
 _TOKENS = re.compile(
     r"(?P<url>(?:https?://|www\.)\S+|\b[\w-]+\.[a-z]{2,9}/\S*|\b[\w-]+\.(?:test|invalid|example|com|net|org|info|biz|shop|store)\b\S*)"
     r"|(?P<tag>#\w[\wါ-ှၖ-ၙ]*)|(?P<code>\b[A-Za-z]{1,4}-?\d{2,}\w*)|(?P<num>\d+(?:[.,]\d+)*)|(?P<my>[က-ဿၐ-႟]+)"
@@ -88,11 +92,6 @@ class Prose:
         return best[1], best[0] / max(1, len(words))
 
 
-def _collected(df: DataFrame, kind: str, share: float) -> dict[tuple[str, str], int]:
-    """Counts (group, token) -> n that reach a share of their group's total, so a bounded number of them."""
-    return {(r[0], r[1]): r[2] for r in df.where(F.col("n") >= F.col("all") * share).select("g", "token", "n").toLocalIterator()}
-
-
 def _paired(df: DataFrame, burmese: list[tuple[str, bool]], share: float) -> dict[tuple[str, str], int]:
     """Counts (group, token) -> n of prose and lists: all of a token that reaches the share in either group of a script, so that none is read as 0.
 
@@ -122,20 +121,32 @@ def _summed(df: DataFrame, columns: list[str], count) -> DataFrame:
     return cut(df.select(*columns).mapInPandas(run, "g string, token string, n long").groupBy("g", "token").agg(F.sum("n").alias("n")))
 
 
+def _words(text: Column) -> Column:
+    """The different words, in lower case, and syllables of Myanmar script, without leaving the JVM."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{Nl}\\p{No}&&[^က-႟]]+(?:['’][\\p{L}\\p{Nl}\\p{No}]+)?"), 0)
+    runs = F.regexp_extract_all(text, F.lit("[က-ဿၐ-႟]+"), 0)
+    return F.array_distinct(F.concat(words, F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(_SYLLABLES.pattern), 0)))))
+
+
+def heads(src: DataFrame) -> dict[str, set[str]]:
+    """The common words by label, over all documents: at most 1 / HEAD_SHARE times the words of a document for each of LANGUAGES + 1 labels."""
+    labelled = src.where("_l is not null")
+    docs = cut(labelled.groupBy(F.col("_l").alias("g")).agg(F.count(F.lit(1)).alias("all")))
+    top = docs.orderBy(F.col("all").desc(), "g").limit(LANGUAGES).select("g", F.col("g").alias("own"))
+    owned = lambda df: df.join(F.broadcast(top), "g", "left").withColumn("g", F.coalesce("own", F.lit("*")))
+    size = owned(docs).groupBy("g").agg(F.sum("all").alias("all"))
+    seen = labelled.select(F.col("_l").alias("g"), F.explode(_words(F.col("_t"))).alias("token")).groupBy("g", "token").agg(F.count(F.lit(1)).alias("n"))
+    common = owned(seen).groupBy("g", "token").agg(F.sum("n").alias("n")).join(F.broadcast(size), "g").where(F.col("n") >= F.col("all") * HEAD_SHARE)
+    out: dict[str, set[str]] = defaultdict(set)
+    for g, token in common.select("g", "token").toLocalIterator():
+        out[g].add(token)
+    return out
+
+
 def fitted(df: DataFrame, text_col: str, lang_col: str) -> Prose:
     """Common words by labelled language, then log ratios between pieces that are clearly prose and clearly lists; over all rows."""
     src = df.select(F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).where("_t is not null and _t <> ''")
-
-    def in_documents(text: str, lang: str | None):
-        return [(lang, w) for w in {w for w, _ in tokens(text)} if w[0].isalpha()] + [(lang, "")] if lang else []
-
-    df1 = _summed(src, ["_t", "_l"], in_documents)
-    docs = df1.where("token = ''").select("g", F.col("n").alias("all"))
-    total = docs.agg(F.sum("all").alias("docs"))
-    docs = docs.join(F.broadcast(total)).where(F.col("all") >= F.col("docs") * LANGUAGE_SHARE).select("g", "all")
-    head: dict[str, set[str]] = defaultdict(set)
-    for lang, w in _collected(df1.where("token <> ''").join(F.broadcast(docs), "g"), "g", HEAD_SHARE):
-        head[lang].add(w)
+    head = heads(src)
     first = Prose(dict(head))
     by_script = {b: [x for x in first.burmese if first.burmese[x] == b] for b in (True, False)}
     shared = df.sparkSession.sparkContext.broadcast((first, by_script))
@@ -144,12 +155,12 @@ def fitted(df: DataFrame, text_col: str, lang_col: str) -> Prose:
         prose, scripts = shared.value
         out = []
         for words, _ in pieces(text):
-            if len(words) < 10:
+            if len(words) < SEED_TOKENS:
                 continue
             lang, mass = prose.mass(words)
             ends, my = words.count("<end>"), _burmese(words)
             special = sum(w in _SPECIAL for w in words) / len(words)
-            if mass >= 0.5 and ends:
+            if mass >= PROSE_MASS and ends:
                 out += [(f"+{lang}", w) for w in words]
             elif not ends and (mass <= 0.35 or my and len(words) >= 20) or special >= 0.3:
                 out += [(f"-{my}", w) for w in words]
@@ -173,7 +184,7 @@ def fitted(df: DataFrame, text_col: str, lang_col: str) -> Prose:
 
 
 def measured(df: DataFrame, id_col: str, text_col: str, lang_col: str, prose: Prose | None = None) -> DataFrame:
-    """One row per piece of each document: (id, piece, chars, n, lang, divergence, slope, level, residual)."""
+    """One row per piece of each document: (id, piece, chars, n, lang, prose, divergence, slope, level, residual); prose is true where common words and sentence ends tell so."""
     prose = prose or fitted(df, text_col, lang_col)
     shared = df.sparkSession.sparkContext.broadcast(prose)
 
@@ -186,20 +197,21 @@ def measured(df: DataFrame, id_col: str, text_col: str, lang_col: str, prose: Pr
                 for words, chars in pieces(t):
                     lang, score = p.score(words)
                     spectrum = Counter(Counter(w for w in words if w != "<end>" and (w[0].isalnum() or w[0] == "<")).values())
-                    rows.append({"chars": chars, "n": len(words), "lang": lang, "divergence": score, "spectrum": [{"f": f, "c": c} for f, c in spectrum.items()]})
+                    plain = "<end>" in words and p.mass(words)[1] >= PROSE_MASS
+                    rows.append({"chars": chars, "n": len(words), "lang": lang, "prose": plain, "divergence": score, "spectrum": [{"f": f, "c": c} for f, c in spectrum.items()]})
                 out.append(rows)
             yield pd.Series(out, dtype=object)
 
-    kind = "array<struct<chars: int, n: int, lang: string, divergence: double, spectrum: array<struct<f: int, c: int>>>>"
+    kind = "array<struct<chars: int, n: int, lang: string, prose: boolean, divergence: double, spectrum: array<struct<f: int, c: int>>>>"
     rows = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_id is not null and _t is not null and _t <> ''"), "_id", "_t").distinct()
     parts = rows.select("_id", F.pandas_udf(measure, kind, F.PandasUDFType.SCALAR_ITER)("_t").alias("p")).select("_id", F.posexplode("p").alias("piece", "p"))
-    flat = parts.select("_id", "piece", "p.chars", "p.n", "p.lang", "p.divergence", F.explode_outer("p.spectrum").alias("s"))
+    flat = parts.select("_id", "piece", "p.chars", "p.n", "p.lang", "p.prose", "p.divergence", F.explode_outer("p.spectrum").alias("s"))
     key = ["_id", "piece"]
     down = Window.partitionBy(*key).orderBy(F.col("s.f").desc())
     # the rank at the end of each frequency: the curve has few points however many terms share a frequency
     ranked = flat.withColumn("x", F.log(F.sum("s.c").over(down))).withColumn("y", F.log("s.f"))
     curve = ranked.groupBy(*key).agg(
-        *(F.first(c).alias(c) for c in ("chars", "n", "lang", "divergence")),
+        *(F.first(c).alias(c) for c in ("chars", "n", "lang", "prose", "divergence")),
         F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"),
         F.coalesce(F.max("y"), F.lit(0.0)).alias("level"),
         F.sqrt(F.greatest(F.coalesce(F.regr_syy("y", "x") - F.coalesce(F.regr_slope("y", "x") * F.regr_sxy("y", "x"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)) / F.greatest(F.count("y"), F.lit(1))).alias("residual"),
@@ -207,23 +219,32 @@ def measured(df: DataFrame, id_col: str, text_col: str, lang_col: str, prose: Pr
     return curve.withColumnRenamed("_id", id_col)
 
 
+FIGURES = {"divergence": 0.15, "slope": 0.15, "level": 0.25, "residual": 0.1}  # with the least standard deviation each is taken to have
+
+
+def judged(m: DataFrame) -> DataFrame:
+    """Adds to pieces ``improbable`` (by their tokens together) and ``extreme`` (by divergence and curve, among prose of the language and length).
+
+    Lengths are compared in bands that double.  A piece of fewer than
+    CURVE_TOKENS tokens has no curve worth fitting and is judged by its tokens
+    only, as is one without prose of its language in its band.
+    """
+    m = m.withColumn("band", F.least(F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))), F.lit(6)))
+    usual = m.where("prose").groupBy("lang", "band").agg(*(f(c).alias(f"{p}_{c}") for c in FIGURES for p, f in (("m", F.avg), ("s", F.stddev_pop))))
+    m = m.join(F.broadcast(usual), ["lang", "band"], "left")  # a row per language and band
+    z = {c: (F.col(c) - F.col(f"m_{c}")) / F.greatest(F.col(f"s_{c}"), F.lit(least)) for c, least in FIGURES.items()}
+    curve = (F.col("n") >= CURVE_TOKENS) & ((z["slope"] < -FAR) | (z["level"] > FAR) | (z["residual"] > FAR))
+    return m.withColumn("improbable", F.col("divergence") * F.col("n") < -EVIDENCE).withColumn("extreme", F.coalesce((z["divergence"] < -FAR) & curve, F.lit(False)))
+
+
 def stuffed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", prose: Prose | None = None) -> DataFrame:
     """(id, list_share) of the documents most of whose characters are list material.
 
-    Null, empty and very short texts are never found; rows with a null id are
-    left out.  The language is that of the closest prose, whatever the label
-    says.  An id with several texts counts as one document of all of them.
+    Null and empty texts are never found; rows with a null id are left out.
+    The language is that of the closest prose, whatever the label says.  An id
+    with several texts counts as one document of all of them.
     """
-    m = measured(df, id_col, text_col, lang_col, prose)
-    band = F.least(F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))), F.lit(6)).alias("band")
-    m = m.select("*", band)
-    usual = m.where(F.col("divergence") >= 0.75).groupBy("lang", "band").agg(*(f(c).alias(f"{p}_{c}") for c in ("slope", "level", "residual") for p, f in (("m", F.avg), ("s", F.stddev_pop))))
-    far = None
-    m = m.join(F.broadcast(usual), ["lang", "band"], "left")  # a row per language and length band
-    for c, least in (("slope", 0.15), ("level", 0.25), ("residual", 0.1)):
-        z = (F.col(c) - F.col(f"m_{c}")) / F.greatest(F.col(f"s_{c}"), F.lit(least))
-        extreme = F.coalesce((-z if c == "slope" else z) > FAR, F.lit(False))
-        far = extreme if far is None else far | extreme
-    bad = (F.col("n") >= MIN_TOKENS) & ((F.col("divergence") < DIVERGENT) | ((F.col("divergence") < SUSPECT) & far))
+    m = judged(measured(df, id_col, text_col, lang_col, prose))
+    bad = F.col("improbable") | F.col("extreme")
     share = m.groupBy(id_col).agg((F.sum(F.when(bad, F.col("chars")).otherwise(0)) / F.sum("chars")).alias("list_share"))
     return share.where("list_share > 0.5")
