@@ -31,7 +31,7 @@ def test_script_runs_cover_the_text(df):
 
 
 def test_process(df, spark):
-    out = {r.id: r.document for r in text.processed(df, "t", entities=[(["စာပေ"], "TOWN")]).collect()}
+    out = {r.id: r.document for r in text.processed(df, "t", entities=[("စာပေ", "TOWN", {})]).collect()}
     assert out[4] is None and out[3].words == [] and "PROPN" in out[0].tags
 
 

@@ -1,6 +1,5 @@
-from thazin.kernels import repair, syntax
+from thazin.kernels import records, repair, syntax
 from thazin.kernels import text as T
-from thazin.sources.export import standoff
 
 
 def test_stops_and_soft_cuts():
@@ -36,5 +35,6 @@ def test_report():
 
 
 def test_standoff():
-    t, a = standoff([{"words": ["ab", "c"], "entities": [("TOWN", 0, 0)]}, {"words": ["de"], "chunks": [("NP", 0, 0)]}])
-    assert t == "abc\nde" and a == "T1\tTOWN 0 2\tab\nT2\tCHUNK/NP 4 6\tde"
+    record = lambda text, words, **more: {"text": text, "tokens": [{"text": w} for w in words], "entities": [], "chunks": [], "mwe": [], "clauses": [], **more}
+    t, a = records.standoff([record("abc", ["ab", "c"], entities=[{"label": "TOWN", "start": 0, "end": 0}]), record("de", ["de"], chunks=[{"type": "NP", "start": 0, "end": 0}])])
+    assert t == "abc\nde" and a == "T1\tTOWN 0 2\tab\nT2\tCHUNK/NP 4 6\tde\n"

@@ -11,6 +11,7 @@ from thazin.functions.zawgyi_rules import LEGACY_TO_STANDARD, STANDARD_TO_LEGACY
 from thazin.kernels.text import INVISIBLE
 
 _LEGACY = "[ၚၠ-႗]|္(?![က-အ])|(?:^|[^က-အျ-ှ])[ေျ]|ေေ|််"
+_SPACE = "\\t-\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"  # all white space, which the JVM class is not
 _SYLLABLE_BREAK = "(?=(?<!္)[က-အ](?![်္])|[ဣ-ဪဿ၌-၏]|(?<![၀-၉])[၀-၉]|[၊။])"
 
 
@@ -51,7 +52,7 @@ def standard_to_legacy(text: Column) -> Column:
 
 def syllables(text: Column) -> Column:
     """Syllables, digit runs, stops and other pieces of normalized text; white space only separates."""
-    runs = F.regexp_extract_all(text, F.lit("[က-႟]+|[^\\sက-႟]+"), 0)
+    runs = F.regexp_extract_all(text, F.lit(f"[က-႟]+|[^{_SPACE}က-႟]+"), 0)
     return F.filter(F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[က-႟]"), F.split(r, _SYLLABLE_BREAK)).otherwise(F.regexp_extract_all(r, F.lit("[!-/:-@\\[-`{-~‐-‟…«»]+|[^!-/:-@\\[-`{-~‐-‟…«»]+"), 0)))), lambda s: s != "")
 
 
@@ -67,6 +68,13 @@ def script_runs(text: Column) -> Column:
     return F.transform(runs, lambda r: F.struct(kind(r).alias("script"), r.alias("text")))
 
 
+def spans(parts: Column) -> Column:
+    """Half-open character spans of strings that follow each other, from the start of the first."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("out"))
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end"))).alias("out"))
+    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+
+
 def paragraphs(text: Column) -> Column:
     """Pieces between line breaks that aren't blank."""
     return F.filter(F.split(text, "\n+"), lambda p: F.trim(p) != "")
@@ -79,6 +87,24 @@ def rewrite_category(matched: Column, replacement: Column) -> Column:
 
 
 def word_boundaries(words: Column) -> Column:
-    """Ends of all words but the last, in characters from the start."""
-    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.length(F.array_join(F.slice(words, 1, i), "")))
-    return F.when(F.size(words) > 1, ends).otherwise(F.array().cast("array<int>"))
+    """Ends of all words but the last, in characters from the start: one running sum."""
+    sizes = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w: F.length(w))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    return F.aggregate(sizes, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["ends"], acc["at"] + n).alias("ends")), lambda acc: F.array_distinct(acc["ends"]))
+
+
+def looks_legacy(text: Column) -> Column:
+    """The pattern-only hint that a text is in legacy font order."""
+    return text.rlike("[ၚၠ-႗]|(?:^|[^က-အျ-ှ])[ေျ]|ေေ|််")
+
+
+def stop_sentences(words: Column) -> Column:
+    """The words of each sentence, where only end marks end one; words after the last are a sentence too."""
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"))
+    ends = lambda w: F.coalesce((w == "။") | w.rlike("^[.!?…]+$"), F.lit(False))
+
+    def step(acc: Column, w: Column) -> Column:
+        now = F.array_append(acc["open"], w)
+        return F.when(ends(w), F.struct(F.array_append(acc["done"], now).alias("done"), F.array().cast("array<string>").alias("open"))).otherwise(F.struct(acc["done"].alias("done"), now.alias("open")))
+
+    return F.aggregate(words, start, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))

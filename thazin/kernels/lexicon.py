@@ -25,15 +25,15 @@ TAGS = ["PUNCT", "SB", "POSTP", "SFP", "PART", "AUX", "CONJ", "PRON", "NUM", "AD
 
 # Seed words by tag.
 SEED = {
-    "NOUN": "မြန်မာ စာ စာပေ စာအုပ် ကျောင်း ကျောင်းသား ကျောင်းသူ အိမ် လမ်း ရေ နေ လ ခြင်း မှု သူ လူ ကလေး မိန်းကလေး ယောက်ျား မိန်းမ ခွေး ကြောင် ငှက် ပန်း သစ်ပင် နိုင်ငံ မြို့ ရွာ ပြည် ခေါင်း လက် ခြေ နှလုံး အစာ ဟင်း ဆန် အသား ငါး ပေ ဆရာ ဆရာမ သွား",
-    "VERB": "ဖတ် စား သောက် သွား လာ ကျ ရ ပြော ဟော ဖွင့် ပိတ် ရေး ဖွဲ့ စီစဉ် လုပ် ဆောင် ရှိ ဖြစ် ပြုလုပ် ထား ယူ ပေး နေ စမ်း သပ် ကစား ခံစား",
-    "ADJ": "ကြီး ငယ် လှ ရှည် တို ကောင်း ဆိုး မြင့် နိမ့် လွယ် ခက် သစ် ဟောင်း ပို",
-    "PRON": "ကျွန်တော် ကျွန်မ သူ သူမ ဒီ ဟို အဲဒီ ဘယ်သူ ဘယ် အားလုံး ကိုယ် မိမိ ငါ မင်း",
-    "ADV": "အရမ်း အလွန် သိပ် တော်တော် မကြာခဏ အမြဲ ဘယ်တော့မှ ပို",
-    "PART": "များ တွေ ပါ ကြ မ",
-    "SFP": "သည် တယ် မည် ပြီ လား မလား ၏ ပါတယ် ပါဘူး",
-    "AUX": "နေ ထား ခဲ့ ပေး လိုက် ပစ် ဖူး",
-}
+    "NOUN": ["မြန်မာ", "စာ", "စာပေ", "စာအုပ်", "ကျောင်း", "ကျောင်းသား", "ကျောင်းသူ", "အိမ်", "လမ်း", "ရေ", "နေ", "လ", "ခြင်း", "မှု", "သူ", "လူ", "ကလေး", "မိန်းကလေး", "ယောက်ျား", "မိန်းမ", "ခွေး", "ကြောင်", "ငှက်", "ပန်း", "သစ်ပင်", "နိုင်ငံ", "မြို့", "ရွာ", "ပြည်", "ခေါင်း", "လက်", "ခြေ", "နှလုံး", "အစာ", "ဟင်း", "ဆန်", "အသား", "ငါး", "ပေ", "ဆရာ", "ဆရာမ", "သွား"],
+    "VERB": ["ဖတ်", "စား", "သောက်", "သွား", "လာ", "ကျ", "ရ", "ပြော", "ဟော", "ဖွင့်", "ပိတ်", "ရေး", "ဖွဲ့", "စီစဉ်", "လုပ်", "ဆောင်", "ရှိ", "ဖြစ်", "ပြုလုပ်", "ထား", "ယူ", "ပေး", "နေ", "စမ်း", "သပ်", "ကစား", "ခံစား"],
+    "ADJ": ["ကြီး", "ငယ်", "လှ", "ရှည်", "တို", "ကောင်း", "ဆိုး", "မြင့်", "နိမ့်", "လွယ်", "ခက်", "သစ်", "ဟောင်း", "ပို"],
+    "PRON": ["ကျွန်တော်", "ကျွန်မ", "သူ", "သူမ", "ဒီ", "ဟို", "အဲဒီ", "ဘယ်သူ", "ဘယ်", "အားလုံး", "ကိုယ်", "မိမိ", "ငါ", "မင်း"],
+    "ADV": ["အရမ်း", "အလွန်", "သိပ်", "တော်တော်", "မကြာခဏ", "အမြဲ", "ဘယ်တော့မှ", "ပို"],
+    "PART": ["များ", "တွေ", "ပါ", "ကြ", "မ"],
+    "SFP": ["သည်", "တယ်", "မည်", "ပြီ", "လား", "မလား", "၏", "ပါတယ်", "ပါဘူး"],
+    "AUX": ["နေ", "ထား", "ခဲ့", "ပေး", "လိုက်", "ပစ်", "ဖူး"],
+}
 # Words whose tags replace what the lists say.
 OVERRIDES = {
     "သွား": ["VERB", "NOUN"], "ထား": ["VERB", "AUX"], "ပို": ["ADV", "ADJ"], "က": ["POSTP", "PART", "CONJ"], "သည်": ["SFP", "PART"], "တယ်": ["SFP", "PART"], "မည်": ["SFP", "PART"], "ပြီ": ["SFP", "PART"],
@@ -65,12 +65,20 @@ class Lexicon:
     @classmethod
     def seed(cls) -> Lexicon:
         merged: dict[str, list[str]] = {}
-        lists = [*((t, w.split()) for t, w in SEED.items()), ("POSTP", POSTPOSITIONS), ("CONJ", CONJUNCTIONS), ("NUM", NUMERALS)]
+        lists = [*SEED.items(), ("POSTP", POSTPOSITIONS), ("CONJ", CONJUNCTIONS), ("NUM", NUMERALS)]
         for tag, words in lists:
             for w in words:
                 merged.setdefault(w, []).append(tag)
         return cls(merged | OVERRIDES)
 
+    @classmethod
+    def default(cls, folder: str | None = None) -> Lexicon:
+        """The seed and every JSON list of a folder, in order of name; the fixed overrides replace what those say of a word."""
+        merged = cls.seed()
+        for path in sorted(Path(folder).glob("*.json")) if folder else ():
+            merged = merged.merged(cls.from_file(str(path)))
+        return cls(merged.entries | OVERRIDES)
+
     @classmethod
     def from_file(cls, path: str, merge: bool = False) -> Lexicon:
         """A JSON object of lists, or lines of word<TAB>tag,tag with # comments; a byte order mark is allowed."""
@@ -95,6 +103,10 @@ class Lexicon:
         loaded = cls(data)
         return cls.seed().merged(loaded) if merge else loaded
 
+    def with_word(self, word: str, tags: Iterable[str]) -> Lexicon:
+        """A lexicon that holds a word, with these tags besides those it has."""
+        return self.merged(Lexicon({word: tags}))
+
     def merged(self, other: Lexicon) -> Lexicon:
         return Lexicon({w: [*self.entries.get(w, ()), *other.entries.get(w, ())] for w in {*self.entries, *other.entries}})
 

@@ -7,7 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thazin.kernels import analysis, repair, syntax, text
+from thazin.kernels import analysis, records, repair, syntax, text
+from thazin.kernels.entities import Entities
+from thazin.kernels.grammar import Grammar
 from thazin.kernels.lexicon import Lexicon
 from thazin.session import built, mapped, shared
 
@@ -21,6 +23,16 @@ def canonical(col: Column) -> Column:
     return mapped(lambda t: text.canonical_order(text.normalize(t)), "string", col)
 
 
+def reordered(col: Column) -> Column:
+    """Marks in order, nothing else."""
+    return mapped(text.canonical_order, "string", col)
+
+
+def canonical_then_normalized(col: Column) -> Column:
+    """Marks in order, then invisible characters deleted and composed (NFC)."""
+    return mapped(lambda t: text.normalize(text.canonical_order(t)), "string", col)
+
+
 def romanized(col: Column) -> Column:
     return mapped(analysis.romanize, "string", col)
 
@@ -43,38 +55,111 @@ def tagged(df: DataFrame, col: str, out: str = "tags", lexicon: Lexicon | None =
 
 
 DOCUMENT = (
-    "text string, words array<string>, units array<struct<text: string, category: string, first: int, last: int, index: int>>, tags array<string>, "
-    "entities array<struct<text: string, type: string, first: int, last: int>>, chunks array<struct<type: string, text: string, first: int, last: int>>, "
-    "sentences array<struct<first: int, stop: int>>, clauses array<struct<sentence: int, kind: string, relation: string, marker: string, first: int, last: int>>"
+    "text string, syllables array<string>, words array<string>, spans array<struct<start: int, end: int>>, units array<struct<text: string, category: string, first: int, last: int, index: int>>, tags array<string>, "
+    "entities array<struct<text: string, type: string, first: int, last: int, attributes: map<string, string>>>, chunks array<struct<type: string, text: string, first: int, last: int>>, "
+    "sentences array<struct<text: string, start: int, end: int, first: int, stop: int>>, "
+    "phrases array<struct<sentence: int, depth: int, type: string, part: string, function: string, role: string, text: string, first: int, last: int>>, "
+    "clauses array<struct<sentence: int, kind: string, relation: string, marker: string, text: string, first: int, last: int>>"
+)
+RECORD = (
+    "id int, text string, tokens array<struct<id: int, text: string, pos: string>>, chunks array<struct<id: int, type: string, start: int, end: int, function: string, semantic_role: string>>, "
+    "clauses array<struct<id: int, type: string, start: int, end: int, relation: string, marker: string>>, entities array<struct<id: int, label: string, start: int, end: int>>, mwe array<struct<id: int, type: string, start: int, end: int>>"
 )
 
 
-def processed(df: DataFrame, col: str, lexicon: Lexicon | None = None, units: Iterable = (), entities: Iterable = (), out: str = "document") -> DataFrame:
-    """Adds the whole analysis of a text as one struct, in one pass: words, multi-word units, tags (PROPN inside entities), entities, phrases, sentences, clauses."""
-    handle = shared(df.sparkSession, (lexicon or Lexicon.seed(), list(units), list(entities)))
-
-    def run(t: str) -> dict:
-        lex, merge, find = built(handle, _engines)
-        norm = text.normalize(t)
-        words, merged = merge.merge([w[0] for w in analysis.words(norm, lex)])
-        tags = analysis.pos_tags(words, lex, {u[4]: analysis.Units.TAG.get(u[1], "IDIOM") for u in merged})
-        hits = find.find(words, tags)
-        for _, _, a, b in hits:
-            tags[a : b + 1] = ["PROPN"] * (b - a + 1)
-        chunks = analysis.chunks(words, tags, [(a, b) for _, _, a, b in hits])
-        spans = syntax.sentences(words, tags, chunks)
+class Engine:
+    """What the analysis of a text needs, built once for a worker."""
+
+    def __init__(self, value: tuple):
+        self.lexicon, units, entities, self.grammar, self.soft = value
+        self.units = analysis.Units(units)
+        self.entities = Entities(entities, self.lexicon)
+
+    def run(self, raw: str) -> dict:
+        norm = text.normalize(raw)
+        found = analysis.words(norm, self.lexicon)
+        words, merged = self.units.merge([w[0] for w in found])
+        at, spans = 0, []
+        inside = {u[4]: u[3] - u[2] + 1 for u in merged}
+        for i in range(len(words)):
+            n = inside.get(i, 1)
+            spans.append((found[at][1], found[at + n - 1][2]))
+            at += n
+        tags = analysis.pos_tags(words, self.lexicon, {u[4]: analysis.Units.TAG.get(u[1], "IDIOM") for u in merged})
+        hits = self.entities.find(words, tags)
+        for h in hits:
+            tags[h.first : h.last + 1] = ["PROPN"] * (h.last - h.first + 1)
+        chunks = analysis.chunks(words, tags, [(h.first, h.last) for h in hits], self.grammar)
+        bounds = syntax.sentences(words, tags, chunks, self.soft)
+        chars = syntax.char_spans(norm, spans, bounds)
+        trees = [syntax.parsed(words, chunks, s) for s in bounds]
         return {
             "text": norm,
+            "syllables": [t[0] for t in text.tokens(norm)],
             "words": words,
+            "spans": [{"start": a, "end": b} for a, b in spans],
             "units": [dict(zip(("text", "category", "first", "last", "index"), u)) for u in merged],
             "tags": tags,
-            "entities": [dict(zip(("text", "type", "first", "last"), h)) for h in hits],
+            "entities": [{"text": h.text, "type": h.kind, "first": h.first, "last": h.last, "attributes": {k: v for k, v in h.attributes.items() if v is not None}} for h in hits],
             "chunks": [dict(zip(("type", "text", "first", "last"), c)) for c in chunks],
-            "sentences": [{"first": a, "stop": b} for a, b in spans],
-            "clauses": [dict(zip(("sentence", "kind", "relation", "marker", "first", "last"), (k, *c))) for k, s in enumerate(spans) for c in syntax.clauses(words, chunks, s)],
+            "sentences": [{"text": norm[x:y], "start": x, "end": y, "first": a, "stop": b} for (a, b), (x, y) in zip(bounds, chars)],
+            "phrases": [{"sentence": k, "depth": d, "type": p.kind, "part": p.part, "function": p.function, "role": p.role, "text": p.text, "first": p.first, "last": p.last} for k, (ps, _) in enumerate(trees) for d, p in syntax.flat(ps)],
+            "clauses": [{"sentence": k, "kind": c[0], "relation": c[1], "marker": c[2], "text": "".join(words[c[3] : c[4] + 1]), "first": c[3], "last": c[4]} for k, (_, cs) in enumerate(trees) for c in cs],
         }
 
-    return df.withColumn("_d", mapped(lambda t: [run(t)], f"array<struct<{_ddl(DOCUMENT)}>>", F.col(col))).withColumn(out, F.col("_d")[0]).drop("_d")
+    def records(self, raw: str) -> list[dict]:
+        return records.sentence_records(self.run(raw))
+
+
+def _engine(spark, lexicon: Lexicon | None, units: Iterable, entities: Iterable, grammar: Grammar | None, soft: bool):
+    return shared(spark, (lexicon or Lexicon.seed(), list(units), list(entities), grammar, soft))
+
+
+def processed(df: DataFrame, col: str, lexicon: Lexicon | None = None, units: Iterable = (), entities: Iterable = (), out: str = "document", grammar: Grammar | None = None, soft: bool = True) -> DataFrame:
+    """Adds the whole analysis of a text as one struct, in one pass.
+
+    Words, multi-word units, tags (PROPN inside entities), entities, phrases,
+    sentences that partition the text, the phrase tree of each (relative
+    clauses nested, depth-first with their depth) and its clauses.  ``entities``
+    are (name, kind, attributes); names are cut into words like the texts.
+    Without ``soft`` only stops end sentences.  Empty text gives empty lists,
+    null gives null.
+    """
+    handle = _engine(df.sparkSession, lexicon, units, entities, grammar, soft)
+    return df.withColumn("_d", mapped(lambda t: [built(handle, Engine).run(t)], f"array<struct<{_ddl(DOCUMENT)}>>", F.col(col))).withColumn(out, F.col("_d")[0]).drop("_d")
+
+
+def recorded(df: DataFrame, col: str, lexicon: Lexicon | None = None, units: Iterable = (), entities: Iterable = (), out: str = "records", grammar: Grammar | None = None, soft: bool = True) -> DataFrame:
+    """Adds the sentence records of a text, for export."""
+    handle = _engine(df.sparkSession, lexicon, units, entities, grammar, soft)
+    return df.withColumn(out, mapped(lambda t: built(handle, Engine).records(t), f"array<struct<{_ddl(RECORD)}>>", F.col(col)))
+
+
+def entities_of(words: Column, tags: Column | None, spark, entries: Iterable, lexicon: Lexicon | None = None) -> Column:
+    """The entities over given words: array<struct<text, type, first, last>>; without tags their checks are left out."""
+    handle = shared(spark, (list(entries), lexicon or Lexicon.seed()))
+    cols = (words,) if tags is None else (words, tags)
+
+    def run(w, t=None):
+        return [{"text": h.text, "type": h.kind, "first": h.first, "last": h.last} for h in built(handle, _finder).find([x or "" for x in w], None if t is None else list(t))]
+
+    return mapped(run, "array<struct<text: string, type: string, first: int, last: int>>", *cols)
+
+
+def _finder(value: tuple) -> Entities:
+    return Entities(*value)
+
+
+def stats(document: Column) -> Column:
+    """Counts, means and the tags of an analysed document."""
+    size = lambda name: F.size(document[name])
+    each = lambda a, b: size(a) / F.greatest(size(b), F.lit(1))
+    kinds = F.array_distinct(document["tags"])
+    return F.struct(
+        F.length(document["text"]).alias("char_count"), size("syllables").alias("syllable_count"), size("words").alias("word_count"), size("sentences").alias("sentence_count"),
+        each("words", "sentences").alias("avg_words_per_sentence"), each("syllables", "words").alias("avg_syllables_per_word"),
+        F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(document["tags"], lambda t: t == k)))).alias("pos_distribution"),
+    )
 
 
 def _ddl(schema: str) -> str:
@@ -87,17 +172,19 @@ def _ddl(schema: str) -> str:
     return ", ".join(out)
 
 
-def _engines(value: tuple) -> tuple:
-    return value[0], analysis.Units(value[1]), analysis.Entities(value[2])
-
-
 REPORT = (
     "array<struct<text: string, paragraphs: array<struct<text: string, converted_text: string, probability: double, converted: boolean, "
-    "repairs: array<struct<rule_index: int, matched_text: string, replacement_text: string, origin_start: int, origin_end: int, category: string, lossy: boolean>>>>, summary: struct<min: double, max: double, spread: double>>>"
+    "repairs: array<struct<rule_index: int, matched_text: string, replacement_text: string, origin_start: int, origin_end: int, category: string, lossy: boolean, ambiguous: boolean>>>>, summary: struct<min: double, max: double, spread: double>>>"
 )
 
 
-def repaired(df: DataFrame, col: str, model: repair.OrderModel, threshold: float = 0.5, out: str = "report") -> DataFrame:
+def repaired(df: DataFrame, col: str, model: repair.OrderModel | repair.MarkovModel, threshold: float = 0.5, out: str = "report") -> DataFrame:
     """Adds the paragraph-wise conversion report of a text."""
     handle = shared(df.sparkSession, model)
     return df.withColumn("_d", mapped(lambda t: [repair.repair_report(t, handle.value[1].probability, threshold)], REPORT, F.col(col))).withColumn(out, F.col("_d")[0]).drop("_d")
+
+
+def standardized(df: DataFrame, col: str, model: repair.OrderModel | repair.MarkovModel, threshold: float = 0.9, out: str = "standard") -> DataFrame:
+    """Adds the text, converted as a whole where the model finds legacy order, and composed."""
+    handle = shared(df.sparkSession, model)
+    return df.withColumn(out, mapped(lambda t: repair.standard(t, handle.value[1].probability, threshold), "string", F.col(col)))

@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is what ``spark.checkpoint.dir`` names on the cluster; only
-    where that setting is absent (tests) a local one is made.
+    The folder is what ``spark.checkpoint.dir`` names on the cluster; only a
+    local master without that setting (tests) gets one of its own.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="thazin-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="thazin-"))
     return df.checkpoint(eager=True)
 
 
@@ -26,6 +29,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small(df: DataFrame, most: int) -> list:
+    """The rows of a table that must be small; ValueError if it holds more."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the table holds more than {most} rows")
+    return rows
+
+
 def mapped(fn: Callable, kind: str, *cols: Column, nulls: bool = False) -> Column:
     """A column of ``fn`` over the values of ``cols``, in Arrow batches.
 

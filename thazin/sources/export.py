@@ -1,10 +1,16 @@
-"""Sinks and sources: CoNLL, JSON lines, gold-standard lines."""
+"""Sinks and sources: CoNLL, JSON lines, stand-off annotations, labelling tasks, gold-standard lines."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thazin.kernels import records
+from thazin.operators.evaluation import numbered
+from thazin.session import mapped
+
 
 def conll(words: Column, tags: Column) -> Column:
     """id, form, lemma (_), tag and _ by line, tabs between, for one sentence."""
@@ -39,25 +45,45 @@ def treebank_lines(df: DataFrame, value: str = "value") -> DataFrame:
     return df.select(F.regexp_extract(value, "^([^\t]*)\t", 1).alias("id"), F.regexp_extract_all(tree, F.lit("\\([^()\\s]+ ([^()\\s]+)\\)"), 1).alias("words"), F.regexp_extract_all(tree, F.lit("\\(([^()\\s]+) [^()\\s]+\\)"), 1).alias("tags"))
 
 
-def standoff(sentences: list[dict]) -> tuple[str, str]:
-    """(text, annotations) of one document in stand-off form.
-
-    A sentence has ``words`` and lists of (label, first, last), inclusive,
-    under entities, chunks, units and clauses; sentences stand on lines of
-    their own, and spans are offsets into the whole text.
-    """
-    lines, notes, base = [], [], 0
-    for s in sentences:
-        at, places = 0, []
-        for w in s["words"]:
-            places.append((at, at + len(w)))
-            at += len(w)
-        surface = "".join(s["words"])
-        lines.append(surface)
-        for name, prefix in (("entities", ""), ("chunks", "CHUNK/"), ("units", "MWE/"), ("clauses", "CLAUSE/")):
-            for label, a, b in s.get(name, ()):
-                x, y = places[a][0], places[b][1]
-                if y > x:
-                    notes.append(f"T{len(notes) + 1}\t{prefix}{label} {base + x} {base + y}\t{surface[x:y]}")
-        base += len(surface) + 1
-    return "\n".join(lines), "\n".join(notes)
+def gold_compounds(df: DataFrame, value: str = "value") -> DataFrame:
+    """Lines of word/tag in which | joins the parts of a compound, to (words, tags, raw_line): a compound is one word with the tag of its first part."""
+    pieces = F.filter(F.split(F.trim(value), "\\s+"), lambda p: p != "")
+    parts = F.transform(pieces, lambda p: F.split(p, "\\|"))
+    word = F.transform(parts, lambda ps: F.array_join(F.transform(ps, lambda p: F.regexp_replace(p, "/[^/]*$", "")), ""))
+    tag = F.transform(parts, lambda ps: F.when(F.get(ps, F.lit(0)).contains("/"), F.element_at(F.split(F.get(ps, F.lit(0)), "/"), -1)))
+    both = F.filter(F.arrays_zip(word.alias("w"), tag.alias("t")), lambda x: x["w"] != "")
+    return df.where(F.trim(value) != "").select(F.transform(both, lambda x: x["w"]).alias("words"), F.transform(both, lambda x: x["t"]).alias("tags"), F.col(value).alias("raw_line"))
+
+
+def segmented_lines(df: DataFrame, value: str = "value") -> DataFrame:
+    """Lines of words with spaces between, as other segmenters write them; blank lines are left out."""
+    return df.where(F.trim(value) != "").select(F.filter(F.split(F.trim(value), "\\s+"), lambda p: p != "").alias("words"))
+
+
+def standoff_of(sentences: Column) -> Column:
+    """struct<text, annotations> of a document's sentence records in stand-off form."""
+    form = mapped(lambda rs: [dict(zip(("text", "annotations"), records.standoff(rs)))], "array<struct<text: string, annotations: string>>", sentences)
+    return F.get(form, F.lit(0))
+
+
+def tasks_of(sentences: Column) -> Column:
+    """Each sentence record as a labelling task, in JSON."""
+    return mapped(lambda rs: [json.dumps(records.task(r), ensure_ascii=False) for r in rs], "array<string>", sentences)
+
+
+def json_of(sentences: Column) -> Column:
+    """All sentence records of a document as one JSON object; null fields are left out."""
+    return F.to_json(F.struct(sentences.alias("sentences")))
+
+
+def renumbered(df: DataFrame, doc_col: str, sentences: str) -> DataFrame:
+    """One row per sentence record with ids that go on over all documents, in order of the document."""
+    flat = df.select(doc_col, F.posexplode(sentences).alias("_k", "r"))
+    return numbered(flat, doc_col, "_k", out="id").select("id", doc_col, F.col("r").dropFields("id").alias("record"))
+
+
+def write_standoff(df: DataFrame, sentences: str, path: str) -> None:
+    """Texts and annotations of the documents, a row each, under two folders."""
+    s = df.select(standoff_of(F.col(sentences)).alias("s"))
+    s.select(F.col("s.text").alias("value")).write.text(f"{path}/txt")
+    s.select(F.col("s.annotations").alias("value")).write.text(f"{path}/ann")
