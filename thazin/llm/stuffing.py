@@ -244,7 +244,7 @@ def stuffed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     The language is that of the closest prose, whatever the label says.  An id
     with several texts counts as one document of all of them.
     """
-    m = judged(measured(df, id_col, text_col, lang_col, prose))
+    m = judged(cut(measured(df, id_col, text_col, lang_col, prose)))  # a few numbers a piece, read twice
     bad = F.col("improbable") | F.col("extreme")
     share = m.groupBy(id_col).agg((F.sum(F.when(bad, F.col("chars")).otherwise(0)) / F.sum("chars")).alias("list_share"))
     return share.where("list_share > 0.5")
