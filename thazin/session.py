@@ -40,7 +40,8 @@ def small(df: DataFrame, most: int) -> list:
 def mapped(fn: Callable, kind: str, *cols: Column, nulls: bool = False) -> Column:
     """A column of ``fn`` over the values of ``cols``, in Arrow batches.
 
-    Unless ``nulls``, a null in the first column gives null.
+    Unless ``nulls``, a null in the first column gives null.  The planner is
+    told not to repeat it, as it would for the filter an explode implies.
     """
 
     def run(batches):
@@ -48,7 +49,7 @@ def mapped(fn: Callable, kind: str, *cols: Column, nulls: bool = False) -> Colum
             batch = (batch,) if isinstance(batch, pd.Series) else batch
             yield pd.Series([None if v[0] is None and not nulls else fn(*v) for v in zip(*batch)], dtype=object)
 
-    return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)(*cols)
+    return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER).asNondeterministic()(*cols)
 
 
 def shared(spark: SparkSession, value):
