@@ -111,6 +111,51 @@ def test_skeleton_pairs(spark):
     assert skeleton.same_look(df.limit(0), "cand_id", "span", "batch_id").count() == 0
 
 
+@pytest.mark.parametrize("a, b", [("O", "0"), ("l", "1"), ("I", "l"), ("ﬁ", "fi"), ("Ⅳ", "IV"), ("rn", "m"), ("ա", "w"), ("Ꭺ", "A"), ("ⲟ", "o"), ("ᴀ", "A"), ("Ｍini", "Mini"), ("ｱ", "ア")])
+def test_look_alikes(a, b):
+    assert skeleton.skeleton(f"x{a}y") == skeleton.skeleton(f"x{b}y")
+
+
+def test_large_classes_are_split(spark, monkeypatch):
+    monkeypatch.setattr(skeleton, "CLASS_ROWS", 3)
+    rows = [(i, 1, "Mini" if i % 3 else "Мini") for i in range(20)] + [(i, 1, "other") for i in range(20, 25)]
+    df = spark.createDataFrame(rows, "cand_id long, batch_id long, span string")
+    want = {(a, b) for a in range(20) for b in range(a + 1, 20) if (a % 3 == 0) != (b % 3 == 0)}
+    assert {tuple(r) for r in skeleton.same_look(df, "cand_id", "span", "batch_id").collect()} == want
+    c = {r.cand_id: (r.n_forms, r.n_links) for r in skeleton.classes(df, "cand_id", "span").collect()}
+    assert c[0] == (2, 13) and c[1] == (2, 7) and c[24] == (1, 0)
+
+
+def test_suffix_array_against_sorted_suffixes():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        rows = [[int(x) for x in rng.integers(0, 3, rng.integers(1, 15))] for _ in range(int(rng.integers(1, 8)))]
+        ids, row = np.array([t for r in rows for t in r]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        order, common, length = ngrams.suffix_array(ids, row)
+        suffix = {at: rows[k][at - sum(map(len, rows[:k])) :] for at, k in enumerate(row)}
+        assert [suffix[i] for i in order] == sorted(suffix.values()) and list(length) == [len(suffix[i]) for i in order]
+        agree = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+        assert list(common) == [0, *(agree(suffix[i], suffix[j]) for i, j in zip(order[1:], order))]
+
+
+def test_rows_of_a_record_may_lie_in_several_tasks(spark):
+    rows = [(i, i % 3, ["a", "b"] if i % 2 else ["a"], i) for i in range(30)] + [(4, 1, ["a"], 4), (None, 1, ["z"], 1), (99, None, ["z"], 1)]
+    df = spark.createDataFrame(rows, "id long, rec long, w array<string>, k int").repartition(5)
+    r = {tuple(x.ngram): (x.total, x.records) for x in ngrams.term_counts(df, "rec", "w", "k", max_n=None, chunk_tokens=2, row_id="id").collect()}
+    assert r == {("a",): (435, 3), ("b",): (225, 3), ("a", "b"): (225, 3)}
+    deep = spark.createDataFrame([(1, list("abcabc")), (2, list("xabcab"))], "id long, w array<string>")
+    grams = {tuple(x.ngram): (x.total, x.records) for x in ngrams.term_counts(deep, "id", "w", max_n=None).collect()}
+    assert grams[tuple("abcab")] == (2, 2) and grams[tuple("abc")] == (3, 2) and grams[tuple("xabcab")] == (1, 1)
+
+
+def test_long_lists_are_joined_with_the_same_result(spark):
+    entries = spark.createDataFrame([(1, "RIVER", "ယဲကိုက်ကိုဂျီမြစ်", "Yeikaikkogyi Myit"), (2, "TOWN", "သွောသဲယားမြို့", None), (3, "TOWN", None, None), (4, None, " ", "x"), (5, "TOWN", "ကောလင်းမြို့", "Kawlin"), (6, "DISTRICT", "ကောလင်းခရိုင်", None)], "entry_id long, entity_type string, name string, latin string")
+    values = ["ယဲကိုက်ကိုဂျီမြစ်ကြီး", "YEIKAIKKOGYI River", "Yeikaikogyi Myit", "Thwawtheyar", "သွောသယား", "ကောလင်း", "ကောလင်", "kawlin town", "kawln", "Kersolquil Café", " ", None, "x", "ကောလင်းမြို့"]
+    df = spark.createDataFrame(list(enumerate([*values, *values[:3]])), "hit_id long, text string")
+    a, b = ({(x.rec_id, x.entry_id) for x in gazetteer.match(df, entries, "hit_id", "text", max_entries=n).collect()} for n in (100, 2))
+    assert a == b and len(a) == 14 and {e for _, e in a} >= {1, 2, 5, -1}
+
+
 def test_suffix_counts_against_brute_force():
     rng = np.random.default_rng(1)
     recs = [[int(x) for x in rng.integers(0, 4, rng.integers(0, 12))] for _ in range(60)]

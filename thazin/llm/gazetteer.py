@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from thazin.kernels.text import canonical_order, legacy_to_standard
 from thazin.llm.skeleton import LOOK_ALIKES, prototypes
-from thazin.session import built, shared, spread
+from thazin.session import built, cut, mapped, shared, spread
 
 MAX_EDITS = 2
-MAX_ENTRIES = 200_000  # the bound under which the list is broadcast
+MAX_ENTRIES = 200_000  # the bound under which the list is broadcast; a longer one is joined on its deletions
+MIN_STEM = 3  # letters of a stem that names are looked up by
 
 # The kinds of names, with the words that end such names in Burmese, romanized and English.
 KIND_WORDS = {
@@ -169,6 +170,25 @@ def deletions(s: str, edits: int = MAX_EDITS) -> Iterable[str]:
                 yield d
 
 
+def entry_keys(kind: str | None, name: str, latin: str | None) -> list[str]:
+    """The stems under which an entry is filed: of its name, its romanization, and its given Latin form."""
+    whole = fold(name)
+    stem = next((t for t, k in stems(whole)[:1] if k == kind), whole.replace(" ", ""))
+    keys = {stem, romanize(stem), romanize(name.removesuffix(KIND_WORDS.get(kind or "", [""])[0])).lower()}
+    if latin and (read := stems(fold(latin))):
+        keys.add(read[0][0])
+    return sorted(k for k in keys if k)
+
+
+def readings(value: str) -> list[tuple[int, str, str | None]]:
+    """(rank, stem, kind) of all readings of a value, in the order in which they are tried."""
+    return [(i, stem, kind) for i, (stem, kind) in enumerate(r for form in forms(value) for r in stems(form)) if len(stem) >= MIN_STEM]
+
+
+def reach(stem: str) -> float:
+    return min(MAX_EDITS, 0.17 * len(stem))
+
+
 class Gazetteer:
     """The symmetric-delete dictionary over (entry id, kind, name, latin, frequency)."""
 
@@ -182,12 +202,7 @@ class Gazetteer:
             if not name or not name.strip():
                 continue
             self.kind[entry], self.frequency[entry] = kind, frequency or 0
-            whole = fold(name)
-            stem = next((t for t, k in stems(whole)[:1] if k == kind), whole.replace(" ", ""))
-            keys = {stem, romanize(stem), romanize(name.removesuffix(KIND_WORDS.get(kind or "", [""])[0])).lower()}
-            if latin:
-                keys.add(stems(fold(latin))[0][0])
-            for key in {k for k in keys if k}:
+            for key in entry_keys(kind, name, latin):
                 self.stem.setdefault(key, []).append(entry)
                 for d in deletions(key):
                     self.filed.setdefault(d, []).append((entry, key))
@@ -202,56 +217,70 @@ class Gazetteer:
         return known
 
     def _lookup(self, value: str) -> int:
+        read = readings(value)
+        for _, stem, kind in read:  # without any edit nothing can rank higher
+            same = [e for e in self.stem.get(stem, ()) if kind in (None, self.kind[e])]
+            if same:
+                return min(same, key=lambda e: (-self.frequency[e], e))
         best = None
-        for form in forms(value):
-            read = stems(form)
-            for stem, kind in read:  # without any edit nothing can rank higher
-                same = [e for e in self.stem.get(stem, ()) if kind in (None, self.kind[e])]
-                if same and len(stem) >= 3:
-                    return min(same, key=lambda e: (-self.frequency[e], e))
-            for stem, kind in read:
-                if len(stem) < 3:
-                    continue
-                limit = min(MAX_EDITS, 0.17 * len(stem))
-                seen = set()
-                for d in deletions(stem):
-                    for entry, key in self.filed.get(d, ()):
-                        if (entry, key) in seen:
-                            continue
-                        seen.add((entry, key))
-                        distance = weighted(stem, key, limit)
-                        if distance > limit:
-                            continue
-                        rank = (distance + (0 if kind in (None, self.kind[entry]) else 0.5), -self.frequency[entry], entry)
-                        if best is None or rank < best:
-                            best = rank
+        for _, stem, kind in read:
+            limit = reach(stem)
+            found = {x for d in deletions(stem) for x in self.filed.get(d, ())}
+            for entry, key in found:
+                distance = weighted(stem, key, limit)
+                if distance <= limit:
+                    rank = (distance + (0 if kind in (None, self.kind[entry]) else 0.5), -self.frequency[entry], entry)
+                    best = rank if best is None or rank < best else best
         return -1 if best is None else best[2]
 
 
-def match(df: DataFrame, entries: DataFrame, id_col: str, value_col: str) -> DataFrame:
+def _joined(values: DataFrame, listed: DataFrame) -> DataFrame:
+    """(value, entry_id) by a join on deletions, for lists too long to send around; the same choice as the dictionary's."""
+    key_type = "array<struct<key: string, dels: array<string>>>"
+    keys = mapped(lambda name, kind, latin: [{"key": k, "dels": list(deletions(k))} for k in entry_keys(kind, name, latin)], key_type, F.col("name"), F.col("entity_type"), F.col("latin"))
+    filed = listed.where("trim(name) <> ''").select("entry_id", F.col("entity_type").alias("ekind"), F.coalesce("f", F.lit(0)).alias("f"), F.explode(keys).alias("k")).select("entry_id", "ekind", "f", "k.key", "k.dels")
+    read_type = "array<struct<rank: int, stem: string, kind: string, dels: array<string>>>"
+    read = mapped(lambda v: [{"rank": i, "stem": t, "kind": k, "dels": list(deletions(t))} for i, t, k in readings(v)], read_type, F.col("value"))
+    asked = values.select("value", F.explode(read).alias("r")).select("value", "r.rank", "r.stem", "r.kind", "r.dels")
+    fits = F.col("kind").isNull() | (F.col("kind") == F.col("ekind"))
+    exact = asked.join(filed, asked["stem"] == filed["key"]).where(fits)
+    exact = exact.groupBy("value").agg(F.min(F.struct("rank", (-F.col("f")).alias("f"), "entry_id")).alias("x")).select("value", F.col("x.entry_id").alias("exact"))
+    pairs = asked.withColumn("d", F.explode("dels")).drop("dels").join(filed.withColumn("d", F.explode("dels")).drop("dels"), "d").drop("d").distinct()
+    near = pairs.withColumn("dist", mapped(lambda a, b: weighted(a, b, reach(a)), "double", F.col("stem"), F.col("key"))).where(F.col("dist") <= mapped(reach, "double", F.col("stem")))
+    cost = F.col("dist") + F.when(fits, 0.0).otherwise(0.5)
+    best = near.groupBy("value").agg(F.min(F.struct(cost.alias("c"), (-F.col("f")).alias("f"), "entry_id")).alias("x")).select("value", F.col("x.entry_id").alias("near"))
+    return values.join(exact, "value", "left").join(best, "value", "left").select("value", F.coalesce("exact", "near", F.lit(-1)).cast("long").alias("entry_id"))
+
+
+def match(df: DataFrame, entries: DataFrame, id_col: str, value_col: str, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """(rec_id, value, entry_id): one row for each record whose value is neither null nor blank nor a listed name.
 
     entry_id is -1 where no name is within reach.  Repeated rows of an id
     count once (by id and value).  Ties in distance go to the more frequent
-    name in the data, then to the smaller id.  The list is sent to the tasks
-    as long as it holds at most MAX_ENTRIES rows, which is checked.  Matching
-    needs no shuffle; each task remembers the values it has seen, so that a
-    text that holds a large share of the rows is looked up once per task.
+    name in the data, then to the smaller id.  Each different value is looked
+    up once, and what it means joined back to its records.  A list of at most
+    ``max_entries`` rows, which is checked, is sent to the tasks; a longer one
+    is joined on its deletions, with the same result.
     """
     spark = df.sparkSession
     listed = entries.select("entry_id", "entity_type", "name", "latin").where("name is not null")
-    values = df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(value_col).alias("value")).where(F.col(value_col).isNotNull() & ~F.col(value_col).rlike("(?U)^\\s*$"))
-    n = listed.limit(MAX_ENTRIES + 1).count()
-    if n > MAX_ENTRIES:
-        raise ValueError(f"the list holds more than {MAX_ENTRIES} entries")
-    seen = values.join(F.broadcast(listed.select(F.col("name").alias("value"), "entry_id").distinct()), "value").groupBy("entry_id").agg(F.count(F.lit(1)).alias("f"))
-    rows = sorted(tuple(r) for r in listed.join(seen, "entry_id", "left").select("entry_id", "entity_type", "name", "latin", "f").collect())
-    handle = shared(spark, rows)
-
-    def find(batches):
-        g = built(handle, Gazetteer)
-        for batch in batches:
-            yield batch.map(g.lookup).astype("int64")
-
-    rest = spread(values, "rec_id", "value").distinct().join(F.broadcast(listed.select(F.col("name").alias("value"))), "value", "left_anti")
-    return rest.select("rec_id", "value", F.pandas_udf(find, "long", F.PandasUDFType.SCALAR_ITER)("value").alias("entry_id"))
+    rows = df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(value_col).alias("value")).where(F.col(value_col).isNotNull() & ~F.col(value_col).rlike("(?U)^\\s*$")).distinct()
+    counts = cut(rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")))  # the different values
+    is_small = listed.limit(max_entries + 1).count() <= max_entries
+    hint = F.broadcast if is_small else lambda x: x
+    names = listed.select(F.col("name").alias("value"), "entry_id").distinct()
+    seen = counts.join(hint(names), "value").groupBy("entry_id").agg(F.sum("n").alias("f"))
+    weighed = listed.join(seen, "entry_id", "left")
+    values = counts.select("value").join(hint(names.select("value")), "value", "left_anti")
+    if is_small:
+        handle = shared(spark, sorted(tuple(r) for r in weighed.select("entry_id", "entity_type", "name", "latin", "f").collect()))
+
+        def find(batches):
+            g = built(handle, Gazetteer)
+            for batch in batches:
+                yield batch.map(g.lookup).astype("int64")
+
+        meant = spread(values, "value").select("value", F.pandas_udf(find, "long", F.PandasUDFType.SCALAR_ITER)("value").alias("entry_id"))
+    else:
+        meant = _joined(values, weighed)
+    return rows.join(meant, "value").select("rec_id", "value", "entry_id")

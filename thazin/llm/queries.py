@@ -41,7 +41,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    return skeleton.classes(table(spark, d, "candidate_keys"), "cand_id", "span")
+    parts = []
+    for src, id_col, value in (("candidate_keys", "cand_id", "span"), ("parsed_documents", "parsed_id", "raw_text")):
+        parts.append(skeleton.classes(table(spark, d, src), id_col, value).select(F.lit(src).alias("src"), F.col(id_col).alias("id"), "look", "n_forms", "n_links"))
+    return parts[0].unionByName(parts[1])
 
 
 _BLANK = "(?U)^\\s*$"
@@ -59,7 +62,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_ngrams(spark: SparkSession, d: str) -> DataFrame:
     counts = ngrams.term_counts(table(spark, d, "parsed_documents"), "parsed_id", "words", max_n=3)
-    return counts.where("records > 1").select(F.array_join("ngram", "\u0001").alias("ngram"), "n", "total", "records")
+    return counts.select(F.array_join("ngram", "\u0001").alias("ngram"), "n", "total", "records")
 
 
 def _repaired(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +122,7 @@ WITH docs AS ({_DOCS}),
 d AS (SELECT parsed_id, list_filter(words, lambda x: x IS NOT NULL) AS words FROM docs),
 g AS (SELECT parsed_id, unnest(range(1, len(words) + 1)) AS i, words FROM d),
 n AS (SELECT parsed_id, words[i:i + k - 1] AS gram, k AS n FROM g, (VALUES (1), (2), (3)) AS t(k) WHERE i + k - 1 <= len(words))
-SELECT array_to_string(gram, chr(1)) AS ngram, n, count(*) AS total, count(DISTINCT parsed_id) AS records FROM n GROUP BY gram, n HAVING count(DISTINCT parsed_id) > 1""",
+SELECT array_to_string(gram, chr(1)) AS ngram, n, count(*) AS total, count(DISTINCT parsed_id) AS records FROM n GROUP BY gram, n""",
 }
 
 

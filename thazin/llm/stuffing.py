@@ -204,7 +204,7 @@ def measured(df: DataFrame, id_col: str, text_col: str, lang_col: str, prose: Pr
 
     kind = "array<struct<chars: int, n: int, lang: string, prose: boolean, divergence: double, spectrum: array<struct<f: int, c: int>>>>"
     rows = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_id is not null and _t is not null and _t <> ''"), "_id", "_t").distinct()
-    parts = rows.select("_id", F.pandas_udf(measure, kind, F.PandasUDFType.SCALAR_ITER)("_t").alias("p")).select("_id", F.posexplode("p").alias("piece", "p"))
+    parts = rows.select("_id", F.pandas_udf(measure, kind, F.PandasUDFType.SCALAR_ITER).asNondeterministic()("_t").alias("p")).select("_id", F.posexplode("p").alias("piece", "p"))
     flat = parts.select("_id", "piece", "p.chars", "p.n", "p.lang", "p.prose", "p.divergence", F.explode_outer("p.spectrum").alias("s"))
     key = ["_id", "piece"]
     down = Window.partitionBy(*key).orderBy(F.col("s.f").desc())
