@@ -313,46 +313,58 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if text[a:b].strip()]
 
 
-def count_document(raw: str) -> Iterator[tuple[str, str]]:
-    """(kind, token) events: all occurrences, and with + those at reliable borders."""
+def count_document(raw: str, held: Counter) -> None:
+    """Add (kind, token) events of a document: all occurrences, and with + those at reliable borders."""
     text, _ = cleaned(raw)
 
-    def both(kind: str, token: str, hit: bool, seen: bool = True) -> Iterator[tuple[str, str]]:
+    def both(kind: str, token: str, hit: bool, seen: bool = True) -> None:
         if "|" in token:
             parts = token.split("|")
             token = "".join(parts[-2:])
             if len(parts) > 2 and hit:
-                yield "my3+", "".join(parts)
-        for t in {token, shape(token)}:
+                held["my3+", "".join(parts)] += 1
+        form = shape(token)
+        for t in (token,) if form == token else (token, form):
             if seen:
-                yield kind, t
+                held[kind, t] += 1
             if hit:
-                yield kind + "+", t
+                held[kind + "+", t] += 1
 
     for a, b in paragraphs(text):
         para = Paragraph(text[a:b].rstrip())
         for parts in para.parts.values():  # every pair of syllables
-            for i in range(len(parts)):
-                yield from both("my", "".join(parts[max(0, i - 1) : i + 1]), False)
+            last = len(parts) - 1
+            for i, part in enumerate(parts):
+                before = parts[i - 1] + part if i else part
+                after = part + parts[i + 1] if i < last else part
+                held["my", before] += 1
+                held["start", after] += 1
+                held["my", "<my>"] += 1
+                held["start", "<my>"] += 1
                 if i > 1:
-                    yield "my3", "".join(parts[i - 2 : i + 1])
-                yield from both("start", "".join(parts[i : i + 2]), False)
+                    held["my3", parts[i - 2] + before] += 1
         if para.words:
             w, s = para.right(0)
-            yield from both("start", w, True, s != "my")
+            both("start", w, True, s != "my")
             last = para.ends[-1]
             w, s = para.left(last)
             rest = para.text[last:]
             if len(rest) < 4:
-                yield from both("my" if s == "my" else "end", w, True, s != "my")
+                both("my" if s == "my" else "end", w, True, s != "my")
                 if rest == ".":
-                    yield from both("dot", w, True)
+                    both("dot", w, True)
         for end, start, mark, _space, inside, closed in places(para.text):
             left, s_left = para.left(end)
             right, s_right = para.right(start)
             sure = mark == "strong" and not inside and not closed and s_left != "digit"
-            yield from both("my" if s_left == "my" else "dot" if mark == "dot" else "end", left, sure and mark != "dot", s_left != "my")
-            yield from both("start", right, sure, s_right != "my")
+            both("my" if s_left == "my" else "dot" if mark == "dot" else "end", left, sure and mark != "dot", s_left != "my")
+            both("start", right, sure, s_right != "my")
+
+
+def _ahead(text: str, start: int) -> str:
+    """The text from a place to the end of the token behind it, which is all that features see of it."""
+    m = _TOKEN.search(text, start)
+    return text[start : m.end() + 1] if m else text[start:]
 
 
 def examples(raw: str, stats: Stats) -> Iterator[tuple[list[float], int]]:
@@ -391,10 +403,10 @@ def examples(raw: str, stats: Stats) -> Iterator[tuple[list[float], int]]:
                 if bare and _script(bare[-1]) != "digit":
                     gap = {"none": "", "space": " ", "line": "\n"}[space]
                     q = (len(bare), len(bare) + len(gap), "nothing", space, inside, False)
-                    yield features(Paragraph(bare + gap + t[start : start + 50]), q, stats, 0)[1], 1
+                    yield features(Paragraph(bare + gap + _ahead(t, start)), q, stats, 0)[1], 1
                 first = start
         if k + 1 < len(spans):
-            follows = text[spans[k + 1][0] : spans[k + 1][0] + 60]
+            follows = _ahead(text, spans[k + 1][0])
             m = re.search(f"([{re.escape(MARKS)}]+)[{re.escape(CLOSE)}\"“]*$", t)
             marks = m.group(1) if m else ""
             mark = "nothing" if not marks else "dot" if marks == "." else "ellipsis" if marks[0] == "…" or marks.startswith("..") else "strong"
@@ -405,18 +417,44 @@ def examples(raw: str, stats: Stats) -> Iterator[tuple[list[float], int]]:
                 yield features(joined, (at, at + 1, mark, space, False, closed), stats, 0)[1], 1
 
 
-def fit(xs: np.ndarray, ys: np.ndarray, penalty: float = 1e-3, rounds: int = 40) -> np.ndarray:
-    """Maximum entropy weights (logistic, both labels of equal weight in total) by Newton steps."""
-    w = np.zeros(xs.shape[1] + 1)
-    x = np.hstack([xs, np.ones((len(xs), 1))])
-    c = np.where(ys == 1, 0.5 / max(1, (ys == 1).sum()), 0.5 / max(1, (ys == 0).sum())) * len(ys)
+def sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, weight: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(gradient, Hessian) of the weighted log loss over some rows; ``weight`` is that of a row with label 0 and 1."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    c = np.where(y == 1, weight[1], weight[0])
+    return x.T @ (c * (p - y)), (x * (c * p * (1 - p))[:, None]).T @ x
+
+
+def fit(rows: DataFrame, penalty: float = 1e-3, rounds: int = 40) -> np.ndarray | None:
+    """Maximum entropy weights (logistic, both labels of equal weight in total) by Newton steps; None without rows of both labels.
+
+    Each step adds up gradient and Hessian where the rows (x, y) are, so only
+    those come to the driver.
+    """
+    n = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
+    if len(n) < 2:
+        return None
+    weight = (0.5 / n[0], 0.5 / n[1])
+    w = np.zeros(WIDTH + 1)
+
+    def part(at: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            grad, hess = np.zeros(WIDTH + 1), np.zeros((WIDTH + 1, WIDTH + 1))
+            for b in batches:
+                if len(b):
+                    g, h = sums(np.stack(b["x"].to_numpy()), b["y"].to_numpy(), at, weight)
+                    grad, hess = grad + g, hess + h
+            yield pd.DataFrame({"g": [grad.tolist()], "h": [hess.ravel().tolist()]})
+
+        return run
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (c * (p - ys)) / len(ys) + penalty * w
-        hess = (x * (c * p * (1 - p))[:, None]).T @ x / len(ys) + penalty * np.eye(len(w))
+        parts = rows.mapInPandas(part(w), "g array<double>, h array<double>").collect()  # a row a task
+        grad = sum(np.array(r["g"]) for r in parts) + penalty * w
+        hess = sum(np.array(r["h"]) for r in parts).reshape(WIDTH + 1, WIDTH + 1) + penalty * np.eye(WIDTH + 1)
         step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        w = w - step
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -435,7 +473,7 @@ def split(raw: str | None, stats: Stats, weights: list[float]) -> list[tuple[int
             _, x = features(para, p, stats, first)
             if x[NUMBER] or x[_BASE + 5]:  # a list number, or a frame that follows its quotation at once
                 continue
-            if sum(w * v for w, v in zip(weights, x) if v) + weights[-1] > 0 and para.text[first : p[0]].strip():
+            if math.sumprod(weights[:-1], x) + weights[-1] > 0 and para.text[first : p[0]].strip():
                 cuts.append(a + p[1])
                 first = p[1]
     out = []
@@ -462,7 +500,7 @@ def fitted(df: DataFrame, text_col: str, id_col: str, train_documents: int = TRA
         for batch in batches:
             for t in batch["_t"]:
                 if t:
-                    held.update(count_document(t))
+                    count_document(t, held)
             if len(held) > 200_000:
                 yield pd.DataFrame([(k, t, n) for (k, t), n in held.items()], columns=["kind", "token", "n"])
                 held = Counter()
@@ -480,15 +518,22 @@ def fitted(df: DataFrame, text_col: str, id_col: str, train_documents: int = TRA
     counts = {}
     for kind, token, n, hits in kept.select("kind", "token", "n", "hits").toLocalIterator():
         counts |= {k: v for k, v in (((kind, token), n), ((kind + "+", token), hits)) if v}
-    texts = [r[0] for r in src.orderBy(F.xxhash64("_id", "_t"), "_id", "_t").select("_t").limit(train_documents).collect()]
-    stats = Stats(counts)
-    rows = [e for t in texts for e in examples(t, stats)]
-    if not rows or len({y for _, y in rows}) < 2:
+    handle = shared(df.sparkSession, counts)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stats = built(handle, Stats)
+        for batch in batches:
+            rows = [e for t in batch["_t"] for e in examples(t, stats)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["x", "y"])
+
+    chosen = src.orderBy(F.xxhash64("_id", "_t"), "_id", "_t").limit(train_documents).select("_t").repartition(df.sparkSession.sparkContext.defaultParallelism, "_t")
+    weights = fit(cut(chosen.mapInPandas(learn, "x array<double>, y int")))
+    if weights is None:
         weights = np.zeros(WIDTH + 1)
         weights[[0, 3]] = 1.0  # without examples every end mark ends a sentence
         weights[-1] = -0.5
-        return counts, weights
-    return counts, fit(np.array([x for x, _ in rows]), np.array([y for _, y in rows]))
+    return counts, weights
 
 
 def sentence_spans(df: DataFrame, id_col: str = "parsed_id", text_col: str = "raw_text", model: tuple[dict, np.ndarray] | None = None) -> DataFrame:
@@ -506,5 +551,5 @@ def sentence_spans(df: DataFrame, id_col: str = "parsed_id", text_col: str = "ra
             yield pd.Series([[{"sent_start": s, "sent_end": e} for s, e in split(t, stats, weights)] for t in texts], dtype=object)
 
     rows = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t is not null and _t <> ''"), "_id", "_t").distinct()
-    find = F.pandas_udf(run, "array<struct<sent_start: int, sent_end: int>>", F.PandasUDFType.SCALAR_ITER)
+    find = F.pandas_udf(run, "array<struct<sent_start: int, sent_end: int>>", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
     return rows.select("_id", F.explode(find("_t")).alias("s")).select(F.col("_id").alias(id_col), "s.sent_start", "s.sent_end")

@@ -44,16 +44,15 @@ def prototypes() -> dict[int, str]:
     may be used to clean text; :func:`skeleton` goes one step further.
     """
     table: dict[int, str] = {}
-    for cp in range(0x80, sys.maxunicode + 1):
+    for cp in (*range(0x80, 0x3400), *range(0xA490, 0xAC00), *range(0xF900, 0x12000), *range(0x16000, 0x17000), *range(0x1A000, 0x1FC00)):  # blocks with such characters
         c = chr(cp)
-        kind, _, _ = unicodedata.decomposition(c).partition("> ")
-        name = unicodedata.name(c, "")
-        if kind in ("<wide", "<narrow", "<font") or kind == "<compat" and (" LIGATURE " in name or " NUMERAL " in name):
+        kind = unicodedata.decomposition(c).partition("> ")[0]
+        if kind in ("<wide", "<narrow", "<font") or kind == "<compat" and re.search(" (?:LIGATURE|NUMERAL) ", unicodedata.name(c)):
             table[cp] = unicodedata.normalize("NFKD", c)
         elif unicodedata.category(c) == "Zs":
             table[cp] = " "
-        elif name.startswith("LATIN LETTER SMALL CAPITAL ") and len(name) == 28:
-            table[cp] = name[-1]
+        elif unicodedata.name(c, "").startswith("LATIN LETTER SMALL CAPITAL ") and len(unicodedata.name(c)) == 28:
+            table[cp] = unicodedata.name(c)[-1]
     table |= {0x09: " "} | dict.fromkeys(_INVISIBLE, "")
     table |= {ord(a): unicodedata.normalize("NFD", b) for a, b in LOOK_ALIKES.items()}
     # a prototype may itself have one: follow it
