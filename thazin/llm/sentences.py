@@ -15,7 +15,7 @@ import bisect
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -44,12 +44,16 @@ def _table() -> dict[int, str | None]:
 
 
 _CLEAN: dict[int, str | None] = {}
+_DIRTY: set[str] = set()
 
 
-def cleaned(text: str) -> tuple[str, list[int]]:
+def cleaned(text: str) -> tuple[str, Sequence[int]]:
     """The text without invisible characters, one form for spaces and widths, and the place of each kept character."""
     if not _CLEAN:
         _CLEAN.update(_table())
+        _DIRTY.update(chr(c) for c in _CLEAN if c > 126)
+    if _DIRTY.isdisjoint(set(text)):
+        return text, range(len(text))
     out, at = [], []
     for i, c in enumerate(text):
         new = _CLEAN.get(ord(c), c) if c > "~" else c
