@@ -6,6 +6,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from thazin.__main__ import main
+from thazin.api import Analyzer
 from thazin.functions import native
 from thazin.kernels import analysis, grammar, records, repair, spelling, syntax
 from thazin.kernels import text as T
@@ -198,3 +200,30 @@ def test_compound_lines_and_sentences_by_stops(spark):
     s = spark.createDataFrame([(["a", "။", "b", "?!", None],), ([],), (None,)], "w array<string>").select(native.stop_sentences(F.col("w")).alias("s")).collect()
     assert s[0].s == [["a", "။"], ["b", "?!"], [None]] and s[1].s == [] and s[2].s is None
     assert [tuple(x) for x in spark.range(1).select(native.spans(F.array(F.lit("ab"), F.lit("c"))).alias("s")).first().s] == [(0, 2), (2, 3)]
+
+
+def test_analyzer(spark, tmp_path):
+    (tmp_path / "towns.json").write_text(json.dumps(["ရန်ကုန်"], ensure_ascii=False), encoding="utf-8")
+    nlp = Analyzer(entities=str(tmp_path)).with_word("ခဂ", ["NOUN"])
+    df = spark.createDataFrame([(1, "သူသည် ရန်ကုန်မှာ ခဂ ဖတ်သည်။"), (2, None)], "id long, t string")
+    w = nlp.tags(nlp.words(df, "t"), "words").collect()
+    assert "ခဂ" in w[0].words and len(w[0].tags) == len(w[0].words) and w[1].words is None
+    assert nlp.sentences(df, "t").first().sentences[0].start == 0 and nlp.stats(df, "t").first().stats.word_count > 3
+    assert [e.type for e in nlp.process(df, "t").first().document.entities] == ["TOWN"] and nlp.chunk(df, "t").first().chunks
+    assert nlp.phrases(spark.createDataFrame([(["a", "b"], ["NOUN", "POSTP"])], "w array<string>, t array<string>"), "w", "t").first().chunks[0].type == "PP"
+    assert nlp.features(df, "id", "t").where("bos").first().syllable == "သူ" and df.select(nlp.syllables(F.col("t")).alias("s")).first().s[0] == "သူ"
+    with pytest.raises(ValueError):
+        nlp.words(df, "t", engine="none")
+    runs = df.select(native.placed_runs(F.lit("ab 12 မာ ")).alias("r")).first().r
+    assert [(r.script, r.start, r.end) for r in runs] == [("latin", 0, 2), ("digit", 2, 5), ("myanmar", 5, 8), ("whitespace", 8, 9)]
+    nlp.save_dictionary(str(tmp_path / "d.json"))
+    assert "ခဂ" in Analyzer(dictionary_path=str(tmp_path / "d.json")).lexicon
+
+
+@pytest.mark.parametrize("mode", ["syllables", "words", "pos", "sentences", "all", "zg2uni", "uni2zg", "fertility", "bench"])
+def test_command_line(spark, tmp_path, mode):
+    (tmp_path / "in.txt").write_text("သူ/pron စာ/n ဖတ်/v သည်/ppm\n" if mode == "bench" else "သူစာဖတ်သည်။\n", encoding="utf-8")
+    assert main([mode, str(tmp_path / "in.txt"), str(tmp_path / "out")]) == 0
+    assert spark.read.json(str(tmp_path / "out")).count() >= 1
+    (tmp_path / "bad.txt").write_text("x\n", encoding="utf-8")
+    assert main(["words", str(tmp_path / "in.txt"), str(tmp_path / "out2"), "--dictionary", str(tmp_path / "bad.txt")]) == 2

@@ -75,6 +75,13 @@ def spans(parts: Column) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
 
+def placed_runs(text: Column) -> Column:
+    """The script runs with their half-open spans."""
+    runs = script_runs(text)
+    places = spans(F.transform(runs, lambda r: r["text"]))
+    return F.zip_with(runs, places, lambda r, p: F.struct(r["script"].alias("script"), r["text"].alias("text"), p["start"].alias("start"), p["end"].alias("end")))
+
+
 def paragraphs(text: Column) -> Column:
     """Pieces between line breaks that aren't blank."""
     return F.filter(F.split(text, "\n+"), lambda p: F.trim(p) != "")

@@ -421,9 +421,8 @@ SELECT word, canonical, canonical IN (SELECT {sql.canonical('word')} FROM lex) A
 c AS (SELECT word, {sql.canonical(sql.normal('word'))} AS key FROM w WHERE word IS NOT NULL), u AS (SELECT DISTINCT key FROM c WHERE key <> '' AND key NOT IN (SELECT entry FROM l)),
 m AS (SELECT key, entry, damerau_levenshtein({sql.one_byte('key')}, {sql.one_byte('entry')}) AS dist FROM u JOIN l ON abs(length(key) - length(entry)) <= 2), b AS (SELECT key, min(dist) AS dist FROM m WHERE dist <= 2 GROUP BY key),
 s AS (SELECT key, array_to_string(list_sort(list(entry))[1:5], ',') AS s FROM m JOIN b USING (key, dist) GROUP BY key) SELECT word, coalesce(s, '') AS suggestions FROM c LEFT JOIN s USING (key)""",
-        "script_runs": """WITH r AS (SELECT unnest(regexp_extract_all(text, '[\\s\\x{a0}\\x{85}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x0b\\x1c-\\x1f]*(?:[0-9၀-၉႐-႙]+|\\p{P}+|[က-ဿ၌-ႏႚ-႟ꧠ-꧿ꩠ-ꩿ]+|[A-Za-zÀ-ÖØ-öø-ɏ]+|[^\\s\\x{a0}\\x{85}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x0b\\x1c-\\x1f\\p{P}0-9A-Za-zÀ-ÖØ-öø-ɏက-႟ꧠ-꧿ꩠ-ꩿ]+)|[\\s\\x{a0}\\x{85}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x0b\\x1c-\\x1f]+$')) AS r FROM documents WHERE text IS NOT NULL),
-k AS (SELECT r, right(r, 1) AS c FROM r) SELECT CASE WHEN regexp_matches(c, '[0-9၀-၉႐-႙]') THEN 'digit' WHEN regexp_matches(c, '\\p{P}') THEN 'punctuation' WHEN regexp_matches(c, '[က-႟ꧠ-꧿ꩠ-ꩿ]') THEN 'myanmar' WHEN regexp_matches(c, '[A-Za-zÀ-ÖØ-öø-ɏ]') THEN 'latin'
-  WHEN regexp_matches(c, '[\\s\\x{a0}\\x{85}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x0b\\x1c-\\x1f]') THEN 'whitespace' ELSE 'other' END AS script, count(*) AS runs, sum(length(r)) AS chars FROM k GROUP BY 1""",
+        "script_runs": f"{sql.script_runs('SELECT text FROM documents WHERE text IS NOT NULL')} SELECT script, count(*) AS runs, sum(length(r)) AS chars FROM s GROUP BY script",
+        "tokens_by_script": f"{sql.script_runs('SELECT text FROM (SELECT DISTINCT fert_id, text FROM fertility_results WHERE text IS NOT NULL)')} SELECT script, count(*) AS runs, sum(strlen(r)) AS tokens FROM s GROUP BY script",
         "word_counts": f"""WITH RECURSIVE src AS (SELECT row_number() OVER () AS id, t, n FROM (SELECT {sql.normal('text')} AS t, count(*) AS n FROM sentence_rows WHERE text IS NOT NULL GROUP BY 1)), {sql.words('src')}
 SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cover JOIN src USING (id) GROUP BY word""",
         "document_stats": f"""WITH RECURSIVE docs AS ({_DOCS}), src AS (SELECT parsed_id AS id, {sql.normal('raw_text')} AS t FROM docs WHERE raw_text IS NOT NULL), {sql.words('src')},

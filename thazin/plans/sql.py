@@ -45,6 +45,15 @@ def kind(w: str) -> str:
     return f"CASE WHEN regexp_full_match({w}, '[၀-၉]+') THEN 'digits' WHEN {w} IN ('၊', '။') THEN 'punct' WHEN regexp_matches({w}, '^[က-႟]') THEN 'syllable' WHEN regexp_matches({w}, '^[{PUNCT}]') THEN 'punct' ELSE 'other' END"
 
 
+def script_runs(texts: str) -> str:
+    """CTEs to ``s`` (r, script): the runs of texts, by the script of their last character."""
+    kinds = {"digit": "0-9၀-၉႐-႙", "punctuation": "\\p{P}", "myanmar": "က-ဿ၌-ႏႚ-႟ꧠ-꧿ꩠ-ꩿ", "latin": "A-Za-zÀ-ÖØ-öø-ɏ"}
+    runs = "|".join(f"[{k}]+" for k in kinds.values())
+    other = f"[^{SPACE}\\p{{P}}0-9A-Za-zÀ-ÖØ-öø-ɏက-႟ꧠ-꧿ꩠ-ꩿ]+"
+    cases = " ".join(f"WHEN regexp_matches(c, '[{k}]') THEN '{name}'" for name, k in kinds.items())
+    return f"WITH r AS (SELECT unnest(regexp_extract_all(text, '[{SPACE}]*(?:{runs}|{other})|[{SPACE}]+$')) AS r FROM ({texts})), k AS (SELECT r, right(r, 1) AS c FROM r), s AS (SELECT r, CASE {cases} WHEN regexp_matches(c, '[{SPACE}]') THEN 'whitespace' ELSE 'other' END AS script FROM k)"
+
+
 def quoted(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
