@@ -74,6 +74,8 @@ class Model:
         self.scores: dict[str, float] = {}
         self.runs: dict[tuple[str, str], list[tuple[str, int, int]]] = {}
         self.moves: dict[tuple[str, str], tuple[tuple[float, str], ...]] = {}
+        self.standard: dict[str, str] = {}  # chunks converted from legacy order, and to it
+        self.legacy: dict[str, str] = {}
         self.steps: dict[tuple[tuple[str, ...], ...], np.ndarray] = {}
 
     def char(self, before: str, c: str) -> float:
@@ -503,8 +505,22 @@ _CHUNK = re.compile("[^\\s။၊]*[\\s။၊]*")
 SWITCH = 7.0  # log cost of a change of channel between chunks
 
 
-def _readings(chunks: list[str], text: str, rewrite) -> list[str]:
-    """The rewritten chunks: from one pass over the whole text where its chunks stay aligned."""
+# Only rules about this digit, and about this mark after a space, look beyond a chunk.
+_ACROSS = re.compile("၀|\\s့")
+
+
+def _readings(chunks: list[str], text: str, rewrite, memo: dict[str, str]) -> list[str]:
+    """The rewritten chunks: each by itself where no rule looks beyond it, else from one pass over the whole text where its chunks stay aligned."""
+    if not _ACROSS.search(text):
+        out = []
+        for c in chunks:
+            known = memo.get(c)
+            if known is None:
+                if len(memo) > 100_000:
+                    memo.clear()
+                known = memo[c] = canonical_order(rewrite(c)) if _MYANMAR.search(c) else c
+            out.append(known)
+        return out
     whole = [m.group() for m in _CHUNK.finditer(rewrite(text)) if m.group()]
     if len(whole) != len(chunks):
         whole = [rewrite(c) if _MYANMAR.search(c) else c for c in chunks]
@@ -520,12 +536,12 @@ def font_order(text: str, model: Model, sibling: str | None = None) -> list[tupl
     chunks = [m.group() for m in _CHUNK.finditer(text) if m.group()]
     if not chunks:
         return []
-    legacy, converted = _readings(chunks, text, legacy_to_standard), _readings(chunks, text, standard_to_legacy)
+    legacy, converted = _readings(chunks, text, legacy_to_standard, model.standard), _readings(chunks, text, standard_to_legacy, model.legacy)
     source: list[str | None] = [None] * len(chunks)
     if sibling and sibling != text:
         other = [m.group() for m in _CHUNK.finditer(sibling) if m.group()]
         if len(other) == len(chunks):
-            source = [o if o != c and canonical_order(r) == canonical_order(c) else None for o, c, r in zip(other, chunks, _readings(other, sibling, legacy_to_standard))]
+            source = [o if o != c and canonical_order(r) == canonical_order(c) else None for o, c, r in zip(other, chunks, _readings(other, sibling, legacy_to_standard, model.standard))]
     out: list[tuple[str, list[tuple[str | None, str, float]]]] = []
     for s, a, b, o in zip(chunks, legacy, converted, source):
         if not _MYANMAR.search(s):
