@@ -49,14 +49,21 @@ class Grammar:
         self.tag_codes = {t: chr(0x100 + i) for i, t in enumerate([*L.TAGS, "PROPN"])}
         self.word_codes: dict[str, str] = {}
         self.cores = {name: self._core(kind) for name, kind in NAMES.items()}
-        self.compiled = [(kind, priority, [re.compile(self._pattern(p, ())) for p in patterns]) for kind, priority, patterns in self.rules]
+        self.by_first: dict[str, list[tuple[int, int, str, re.Pattern]]] = {}  # patterns by the code of a tag they may begin with
+        for k, (kind, priority, patterns) in enumerate(self.rules):
+            for text in patterns:
+                atoms = self._atoms(text, ())
+                pattern = re.compile("".join(f"(?:{choice}){times}" for choice, _, times in atoms))
+                for code in self._begins(atoms):
+                    self.by_first.setdefault(code, []).append((priority, -k, kind, pattern))
 
     def _core(self, kind: str) -> str | None:
         """The shortest pattern of a type's rule of highest priority that doesn't end in a postposition."""
         rule = max((r for r in self.rules if r[0] == kind), key=lambda r: r[1], default=None)
         return min((p for p in rule[2] if not p.split()[-1].startswith("POSTP")), key=len, default=None) if rule else None
 
-    def _pattern(self, text: str, inside: tuple[str, ...]) -> str:
+    def _atoms(self, text: str, inside: tuple[str, ...]) -> list[tuple[str, str | None, str]]:
+        """(choice as an expression, codes of its tags or None for any, repetition) of each atom, references replaced."""
         out, at = [], 0
         while text[at:].strip():
             m = _ATOM.match(text, at)
@@ -67,17 +74,28 @@ class Grammar:
             if name in NAMES:
                 if times or name in inside or self.cores[name] is None:
                     raise GrammarError(f"a phrase can't be repeated, refer to itself or be without a pattern: {name!r} in {text!r}")
-                out.append(self._pattern(self.cores[name], (*inside, name)))
+                out += self._atoms(self.cores[name], (*inside, name))
                 continue
             parts = [p.strip() for p in (group or word or name).split("|") if p.strip()]
             if any(p in NAMES for p in parts):
                 raise GrammarError(f"a phrase can't be one of several choices in {text!r}")
-            out.append(f"(?:{self._choice(parts, text)}){times}")
+            out.append((*self._choice(parts, text), times))
         if not out:
             raise GrammarError("empty pattern")
-        return "".join(out)
-
-    def _choice(self, parts: Sequence[str], text: str) -> str:
+        return out
+
+    def _begins(self, atoms: Sequence[tuple[str, str | None, str]]) -> str:
+        """Codes of the tags a match may begin with."""
+        out = ""
+        for _, tags, times in atoms:
+            if tags is None:
+                return "".join(self.tag_codes.values()) + "~"
+            out += tags
+            if times not in ("?", "*"):
+                return out
+        return out
+
+    def _choice(self, parts: Sequence[str], text: str) -> tuple[str, str | None]:
         tags, words = "", ""
         for p in parts:
             if p.startswith("word="):
@@ -90,16 +108,19 @@ class Grammar:
                 raise GrammarError(f"unknown symbol {p!r} in {text!r}")
         if not tags and not words:
             raise GrammarError(f"no choice in {text!r}")
-        return "|".join(x for x in (f"[{tags}]." if tags else "", f".[{words}]" if words else "") if x)
+        return "|".join(x for x in (f"[{tags}]." if tags else "", f".[{words}]" if words else "") if x), None if words else tags
 
     def coded(self, words: Sequence[str], tags: Sequence[str]) -> str:
         return "".join(self.tag_codes.get(t, "~") + self.word_codes.get(w, "~") for w, t in zip(words, tags))
 
     def longest(self, coded: str, i: int, stop: int) -> tuple[int, str] | None:
         """(words, type) of the best match at a word, not beyond another."""
-        found = [((m.end() - 2 * i) // 2, priority, -k, kind) for k, (kind, priority, patterns) in enumerate(self.compiled) for p in patterns if (m := p.match(coded, 2 * i, 2 * stop)) and m.end() > 2 * i]
-        best = max(found, default=None)
-        return (best[0], best[3]) if best else None
+        best = None
+        for priority, rank, kind, pattern in self.by_first.get(coded[2 * i], ()):
+            m = pattern.match(coded, 2 * i, 2 * stop)
+            if m and m.end() > 2 * i and (best is None or (m.end(), priority, rank) > best[:3]):
+                best = (m.end(), priority, rank, kind)
+        return (best[0] // 2 - i, best[3]) if best else None
 
     @classmethod
     def from_file(cls, path: str, exceptions: str | None = None) -> Grammar:

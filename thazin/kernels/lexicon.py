@@ -50,6 +50,7 @@ class Lexicon:
 
     def __init__(self, entries: dict[str, Iterable[str]]):
         self.entries: dict[str, tuple[str, ...]] = {}
+        self.memo: dict[str, set[str]] = {}  # candidates of words seen
         for word, tags in entries.items():
             key = normalize(word)
             if not key:
@@ -60,7 +61,11 @@ class Lexicon:
             if not known or len(known) != len(list(tags)):
                 raise LexiconError(f"unknown or missing tags of {word!r}: {list(tags)}")
             self.entries[key] = tuple(sorted({*known, *self.entries.get(key, ())}, key=TAGS.index))
-        self.max_syllables = max((len(tokens(w)) for w in self.entries), default=1)
+        self.reach: dict[str, int] = {}  # syllables of the longest word by its first syllable
+        for w in self.entries:
+            parts = tokens(w)
+            self.reach[parts[0][0]] = max(self.reach.get(parts[0][0], 1), len(parts))
+        self.max_syllables = max(self.reach.values(), default=1)
 
     @classmethod
     def seed(cls) -> Lexicon:

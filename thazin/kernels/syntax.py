@@ -40,6 +40,10 @@ CLAUSE_CHUNK = {"main": "MAIN_CLAUSE", "conditional": "CONDITIONAL_CLAUSE", "rea
 
 _LONGEST = sorted(((m, kind) for kind, (_, markers) in MARKERS.items() for m in markers), key=lambda x: -len(x[0]))
 _RELATIVE = set(MARKERS["relative"][1])
+_RELATIVE_LABELS = sorted((t.split() for t in RELATIVE_TEMPLATES), key=lambda t: -len(t))
+_ANY_MARKER = re.compile("|".join(m for m, _ in _LONGEST))
+_BY_MARKER = {m: (m, kind) for m, kind in reversed(_LONGEST)}
+_ENDS_WITH_MARKER = re.compile(f"(?:{'|'.join(m for m, _ in _LONGEST)})$")
 
 
 def terminal(word: str) -> bool:
@@ -162,6 +166,8 @@ def matches(labels: Sequence[str], templates: Sequence[str]) -> bool:
 
 def _marker_inside(words: Sequence[str]) -> tuple[int, str] | None:
     """(words up to the end of the marker, kind) of the first clause marker made of whole words, the longest where several begin."""
+    if not _ANY_MARKER.search("".join(words)):
+        return None
     for i in range(len(words)):
         found = [(j, kind) for m, kind in _LONGEST for j in range(i + 1, len(words) + 1) if "".join(words[i:j]) == m]
         if found:
@@ -196,12 +202,13 @@ def _relative(phrases: Sequence[Phrase], words: Sequence[str]) -> Phrase | None:
 
 def nested(phrases: Sequence[Phrase], words: Sequence[str]) -> list[Phrase]:
     """Relative clauses folded into the noun phrase they modify, the longest template first; what was folded isn't scanned again."""
-    templates = sorted((t.split() for t in RELATIVE_TEMPLATES), key=lambda t: -len(t))
+    templates = _RELATIVE_LABELS
+
+    kinds = [p.kind for p in phrases]
 
     def fold(i: int) -> tuple[int, Phrase | None]:
         for t in templates:
-            window = phrases[i : i + len(t)]
-            if [p.kind for p in window] == t and (whole := _relative(window, words)):
+            if kinds[i : i + len(t)] == t and (whole := _relative(phrases[i : i + len(t)], words)):
                 return len(t), whole
         return 1, None
 
@@ -233,7 +240,8 @@ def parsed(words: Sequence[str], chunks: Sequence[Chunk], span: tuple[int, int])
         if p.kind not in PREDICATES:
             continue
         gap = "".join(words[p.last + 1 : phrases[i + 1].first if i + 1 < len(phrases) else len(words)])
-        found = next((x for x in _LONGEST if p.text.endswith(x[0])), None) or next((x for x in _LONGEST if gap == x[0]), None)
+        text = p.text
+        found = next((x for x in _LONGEST if text.endswith(x[0])), None) if _ENDS_WITH_MARKER.search(text) else _BY_MARKER.get(gap)
         if not found or found[1] == "relative":
             continue
         marker, kind = found
