@@ -442,6 +442,7 @@ p AS (SELECT id, unnest(ws) AS y, generate_subscripts(ws, 1) AS i, len(ws) AS n
 b AS (SELECT *, CASE WHEN length(y) >= 2 THEN substr(y, length(y) - 1, 2) END AS two FROM f)
 SELECT y AS syllable, count(*) AS n, sum(CAST(regexp_matches(y, '[ျ-ှ]') AS INT)) AS has_medial, sum(CAST(regexp_matches(y, '[ါ-ဲ]') AS INT)) AS has_vowel_sign, sum(CAST(regexp_matches(y, '[့း]') AS INT)) AS has_tone, sum(CAST(contains(y, '်') AS INT)) AS has_asat, sum(CAST(contains(y, '္') AS INT)) AS has_stacked,
   sum(CAST(i = 1 AS INT)) AS bos, sum(CAST(i = n AS INT)) AS eos, count(DISTINCT l) AS lefts, count(DISTINCT r) AS rights, max(two) AS bigram_last FROM b GROUP BY y""",
+        "legacy_converted": f"SELECT DISTINCT report_id, {sql.legacy_to_standard('text')} AS standard FROM paragraph_reports WHERE regexp_matches(text, '[ၚၠ-႗]|္([^က-အ]|$)|(^|[^က-အျ-ှ])[ေျ]|ေေ|််')",
         "tag_cases": f"SELECT * FROM (VALUES {_values((i, j, x) for i, (_, want) in enumerate(TAG_CASES) for j, x in enumerate(want) if x)}) AS t(k, i, tag)",
         "tag_histogram_by_word": f"""WITH docs AS ({_DOCS}), w AS (SELECT unnest(words) AS word FROM docs WHERE words IS NOT NULL) SELECT word, CASE WHEN regexp_full_match(word, '[!-/:-@\\[-`{{-~]+|[၊။]') THEN 'PUNCT' WHEN regexp_full_match(word, '[0-9၀-၉]+') THEN 'NUM' ELSE 'FW' END AS tag, count(*) AS n
 FROM w WHERE regexp_full_match(word, '[!-/:-@\\[-`{{-~]+|[၊။]|[0-9၀-၉]+|[A-Za-z]+') GROUP BY 1, 2""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from thazin.functions.zawgyi_rules import LEGACY_TO_STANDARD
 from thazin.kernels import lexicon as L
 from thazin.kernels.text import CONTRACTIONS, MARK_RANK, NGA, VIRAMA
 
@@ -54,6 +55,27 @@ def script_runs(texts: str) -> str:
     return f"WITH r AS (SELECT unnest(regexp_extract_all(text, '[{SPACE}]*(?:{runs}|{other})|[{SPACE}]+$')) AS r FROM ({texts})), k AS (SELECT r, right(r, 1) AS c FROM r), s AS (SELECT r, CASE {cases} WHEN regexp_matches(c, '[{SPACE}]') THEN 'whitespace' ELSE 'other' END AS script FROM k)"
 
 
+# The rules with lookaround or a reference in the pattern, said without them: what must not be touched is put aside as chr(1), and what follows is kept as a group.
+_SAID_OTHERWISE = {
+    0: [(f"{c}{{2,}}", c) for c in "ိီွု့႕"],
+    60: [("၇([ာ-ူဲံ-းွး])", "ရ\\1")],
+    64: [("၀ါး", "\x01"), ("([၀၁၂၃၄၅၆၇၈၉])၀ါ", "\\1ဝါ"), ("\x01", "၀ါး")],
+    65: [("^၀(ါ)", "ဝ\\1")],
+    66: [("၀ိ( ?/)", "\x01\\1"), ("၀ိ", "ဝိ"), ("\x01", "၀ိ")],
+    68: [("([^၀-၉])၀([\\f\\n\\r])", "\\1ဝ\\2")] * 2,
+    69: [("([^၀-၉])၀(\\n?)$", "\\1ဝ\\2")],
+    79: [("ဥ([့]?[်ာ])", "ဉ\\1")],
+    117: [("၇([က-အ]်|[ာ-ူဲံ-းွှ])", "ရ\\1")],
+}
+
+
+def legacy_to_standard(t: str) -> str:
+    for i, rule in enumerate(LEGACY_TO_STANDARD):
+        for pattern, to in _SAID_OTHERWISE.get(i, [rule]):
+            t = f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
+    return t
+
+
 def quoted(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
